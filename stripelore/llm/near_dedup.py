@@ -11,7 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_small, table
+from ..shipping import ship_package
+from .common import Scratch, join_small, map_arrow, table
 from .components import components
 from .shingles import chunks, mix64, shingle_hashes, word_hashes
 
@@ -113,7 +114,7 @@ def _confirm(pairs: DataFrame, heads: DataFrame, docs: DataFrame, k: int, percen
     if not n:
         return near
     texts = join_small(docs.select("doc_id", "text"), nodes, F.col("doc_id") == F.col("node"), "inner", n, 16)
-    sets = scratch.keep(texts.select("node", "text").mapInArrow(_sets(k), "node long, shingles array<long>"), "sets")
+    sets = scratch.keep(map_arrow(texts.select("node", "text"), _sets(k), "node long, shingles array<long>"), "sets")
     both = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
     shared = F.size(F.array_intersect("s", "t")).cast("long")
@@ -158,7 +159,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     scratch = Scratch(spark, "near")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     features = scratch.keep(
-        docs.mapInArrow(_features(k, bands, rows), "doc_id long, n_shingles long, sig binary, bands array<long>, sketch array<long>"), "features"
+        map_arrow(docs, _features(k, bands, rows), "doc_id long, n_shingles long, sig binary, bands array<long>, sketch array<long>"), "features"
     )
     real = features.where("doc_id is not null and n_shingles > 0")
     classes = real.groupBy("sig").agg(F.min("doc_id").alias("node"))
@@ -181,6 +182,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     pairs = few.join(other, "key").where("node < b and component <> c").select(F.col("node").alias("a"), "b")
     many = own.where(F.col("m") > SMALL)
     if not many.isEmpty():
+        ship_package(spark)
         n_blocks = F.ceil(F.col("m") / BLOCK).cast("int")
         many = many.withColumn("n", n_blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
         many = many.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
