@@ -132,6 +132,13 @@ def mix_to_targets(
     return out.select("row.*", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
+def mix_copies(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, all columns, each as often as mix_to_targets takes it."""
+    mixed = mix_to_targets(docs.select("*", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")), **options)
+    times = F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))
+    return mixed.where("copies > 0").select("__row", times.alias("__one")).select("__row.*")
+
+
 def with_rank(df: DataFrame, max_repeat: int) -> DataFrame:
     """Adds certain (whole copies), p (the fraction that remains) and rank (random odds over inclusion odds)."""
     df = df.withColumn("want", wanted(F.col("target"), F.col("mass"), F.col("a"), max_repeat))
