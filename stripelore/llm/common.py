@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import atexit
 import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir
 from ..shipping import ship_package
 
 #: A word is a longest run of bytes other than the six ASCII white-space characters.
@@ -20,21 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where the cluster sets it,
-    else (in tests) a temporary folder of this process, removed at its end."""
-    set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
-    if set_by_cluster:
-        return set_by_cluster.rstrip("/")
-    known = spark.sparkContext.getCheckpointDir()
-    if not known:
-        own = tempfile.mkdtemp(prefix="stripelore-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(f"file://{own}")
-        known = spark.sparkContext.getCheckpointDir()
-    return known.rstrip("/")
-
-
 def hadoop_path(spark: SparkSession, path: str):
     """(file system, path) of Hadoop, for paths that only Spark can open."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -47,6 +32,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
+        if self.root.startswith(("file:", "/")):  # elsewhere, the folder's owner clears it
+            atexit.register(shutil.rmtree, "/" + self.root.removeprefix("file:").lstrip("/"), ignore_errors=True)
 
     def path(self, name: str) -> str:
         self.n += 1
