@@ -2,8 +2,11 @@ import sys
 from pathlib import Path
 
 import pytest
+from hypothesis import settings
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+settings.register_profile("any_speed", deadline=None)
+settings.load_profile("any_speed")
 
 SF = "/root/testdata/sf0.001"
 
