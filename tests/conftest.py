@@ -41,8 +41,10 @@ def duck():
 
 def same_rows(df, duck, sql: str) -> None:
     """A Spark result and a DuckDB one have the same columns and rows, in any order."""
-    mine, other = df.toArrow(), duck.execute(sql).fetch_arrow_table()
-    assert sorted(mine.column_names) == sorted(other.column_names)
-    names = sorted(mine.column_names)
-    rows = [sorted((tuple(repr(v) for v in r) for r in zip(*[t.column(n).to_pylist() for n in names], strict=True))) for t in (mine, other)]
-    assert rows[0] == rows[1]
+    mine, done = df.toArrow(), duck.execute(sql)
+    columns = [d[0] for d in done.description]
+    assert sorted(mine.column_names) == sorted(columns)
+    names = sorted(columns)
+    got = sorted(tuple(map(repr, r)) for r in zip(*[mine.column(n).to_pylist() for n in names], strict=True))
+    want = sorted(tuple(repr(r[columns.index(n)]) for n in names) for r in done.fetchall())
+    assert got == want
