@@ -18,10 +18,10 @@ from .shingles import chunks, mix64, shingle_hashes, word_hashes
 
 #: 25 bands of 5 samples: a pair at similarity 0.8 shares no band once in 20,000 times, one at 0.85 once in 2 million.
 BANDS, ROWS = 25, 5
-#: Bits of an odd sketch, a multiple of 64.
-SKETCH = 512
-#: A candidate goes on to the full sets if its sketches put it at the threshold less this, some five standard errors.
-SLACK = 0.2
+#: MinHash samples that an odd sketch folds (the bands take the first of them) and its bits, a multiple of 64.
+SAMPLES, SKETCH = 512, 2048
+#: A candidate goes on to the full sets if its sketches put it at the threshold less this, more than four standard errors.
+SLACK = 0.08
 #: Buckets of up to so many sets are compared by a join, larger ones in blocks of so many.
 SMALL, BLOCK = 32, 256
 
@@ -35,12 +35,12 @@ def odd_sketch(samples: np.ndarray, bits: int = SKETCH) -> np.ndarray:
     """Parity bitmap of each row of MinHash samples (texts x samples) as 64-bit words: sample (i, value) flips one bit."""
     n, k = samples.shape
     where = mix64(samples.astype(np.uint64) + (np.arange(1, k + 1, dtype=np.uint64) << np.uint64(32))) % np.uint64(bits)
-    flips = np.zeros((n, bits), np.uint8)
-    np.add.at(flips, (np.repeat(np.arange(n), k), where.ravel().astype(np.int64)), 1)
-    return np.packbits(flips & 1, axis=1, bitorder="little").view(np.int64)
+    at = where.astype(np.int64) + np.arange(n)[:, None] * bits
+    flips = (np.bincount(at.ravel(), minlength=n * bits) & 1).astype(np.uint8)
+    return np.packbits(flips.reshape(n, bits), axis=1, bitorder="little").view(np.int64)
 
 
-def most_differing(similarity: float, samples: int, bits: int = SKETCH) -> int:
+def most_differing(similarity: float, samples: int = SAMPLES, bits: int = SKETCH) -> int:
     """The largest XOR population count whose estimate 1 + bits / (4 samples) ln(1 - 2 count / bits) is `similarity` or more."""
     return int(bits / 2 * (1 - np.exp(-4 * samples / bits * (1 - similarity))))
 
@@ -54,8 +54,9 @@ def _texts(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Recor
 
 def _features(k: int, bands: int, rows: int):
     """Arrow batches of (doc_id, text) -> doc_id, n_shingles, sig (16 bytes that name the set), bands, sketch."""
-    samples = bands * rows
-    xor, times = _family(samples)
+    if bands * rows > SAMPLES:
+        raise ValueError(f"bands * rows is more than the {SAMPLES} samples")
+    xor, times = _family(SAMPLES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _texts(batches, k):
@@ -67,12 +68,12 @@ def _features(k: int, bands: int, rows: int):
                 starts = np.concatenate(([0], np.cumsum(sizes[full])[:-1]))
                 all_ = np.concatenate([sets[i] for i in full])
                 low = (all_ >> np.uint64(32)).astype(np.uint32)
-                least = np.empty((len(full), samples), np.uint32)
-                for j in range(samples):
+                least = np.empty((len(full), SAMPLES), np.uint32)
+                for j in range(SAMPLES):
                     least[:, j] = np.minimum.reduceat((low ^ xor[j]) * times[j], starts)
                 key = np.zeros((len(full), bands), np.uint64)
                 for j in range(rows):
-                    key = mix64(key * np.uint64(31) + least[:, j::rows].astype(np.uint64) + np.uint64(1))
+                    key = mix64(key * np.uint64(31) + least[:, j : bands * rows : rows].astype(np.uint64) + np.uint64(1))
                 key = mix64(key + np.arange(bands, dtype=np.uint64)).view(np.int64)
                 odd = odd_sketch(least)
                 for n, i in enumerate(full):
@@ -102,12 +103,12 @@ def _apart(bits: int) -> Column:
     return reduce(lambda x, y: x + y, words)
 
 
-def _confirm(pairs: DataFrame, heads: DataFrame, docs: DataFrame, k: int, percent: int, samples: int, scratch: Scratch) -> DataFrame:
+def _confirm(pairs: DataFrame, heads: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose sketches agree enough and whose full sets have the similarity."""
     sketch = heads.select("node", "sketch")
     near = pairs.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a")
     near = near.join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-    near = near.where(_apart(SKETCH) <= most_differing(percent / 100 - SLACK, samples)).select("a", "b").distinct()
+    near = near.where(_apart(SKETCH) <= most_differing(percent / 100 - SLACK)).select("a", "b").distinct()
     near = scratch.keep(near, "near")
     nodes = scratch.keep(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
     n = nodes.count()
@@ -125,10 +126,11 @@ def _confirm(pairs: DataFrame, heads: DataFrame, docs: DataFrame, k: int, percen
 
 
 def _blocks(most: int):
-    """Pairs across components whose sketches agree enough, within two blocks of a large bucket."""
+    """Pairs across components whose sketches agree enough, within two blocks of a large bucket; each only in the first
+    of the bands that it shares."""
 
     def run(pdf):
-        a, b = pdf[pdf.side == 0], pdf[pdf.side == 1]
+        key, a, b = pdf.key.iloc[0], pdf[pdf.side == 0], pdf[pdf.side == 1]
         if b.empty:  # a block with itself
             b = a
         x, y = np.stack(a.sketch.to_list()), np.stack(b.sketch.to_list())
@@ -136,20 +138,49 @@ def _blocks(most: int):
         for w in range(x.shape[1]):
             apart += np.bitwise_count(x[:, w, None] ^ y[None, :, w]).astype(np.int32)
         i, j = np.nonzero((apart <= most) & (a.component.to_numpy()[:, None] != b.component.to_numpy()[None, :]))
-        p, q = a.node.to_numpy()[i], b.node.to_numpy()[j]
+        bands = np.stack(a.bands.to_list())[i]
+        first = np.argmax(bands == np.stack(b.bands.to_list())[j], axis=1)
+        here = bands[np.arange(len(i)), first] == key
+        p, q = a.node.to_numpy()[i[here]], b.node.to_numpy()[j[here]]
         return type(pdf)({"a": np.minimum(p, q), "b": np.maximum(p, q)}).drop_duplicates()
 
     return run
 
 
+def _apart_in_buckets(shared: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, node, m, component) of the buckets of three or more whose members are in more than one component."""
+    own = shared.where("m > 2").join(found, "node", "left").select("key", "node", "m", F.coalesce("component", "node").alias("component"))
+    own = scratch.keep(own, "members")
+    open_ = own.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    out = scratch.keep(own.join(open_, "key"), "open")
+    scratch.drop(own)
+    return out
+
+
+def _sampled(many: DataFrame, scratch: Scratch, per_bucket: int = 4) -> tuple[int, DataFrame] | None:
+    """How many members of large buckets stand outside the component of a random member, and their pairs with a few random members
+    of that component. Most of a large group finds its component by these few, before pairs are sought in earnest."""
+    if many.isEmpty():
+        return None
+    scratch.n += 1
+    at_random = [F.xxhash64(F.col("node"), F.col("key"), F.lit(scratch.n * per_bucket + i)) for i in range(per_bucket)]
+    main = many.groupBy("key").agg(F.min_by("component", at_random[0]).alias("main"))
+    many = scratch.keep(many.join(main, "key"), "main")
+    few = many.where("component = main").groupBy("key").agg(F.array_distinct(F.array(*[F.min_by("node", r) for r in at_random])).alias("few"))
+    pairs = many.where("component <> main").join(few, "key").select(F.col("node").alias("x"), F.explode("few").alias("y"))
+    pairs = scratch.keep(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "tried")
+    return many.where("component <> main").select("node").distinct().count(), pairs
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, text) -> doc_id, n_shingles, component_id, kept, one row for each row of docs.
 
     A text's set holds its distinct k-word shingles (A-Z lower-cased); with fewer words, the whole sequence. Documents
     are linked if 100 * intersection >= percent * union, checked on the full sets; component_id is the smallest doc_id
     that links reach. Equal sets are one node from the start, so copies never meet in pairs. Each bucket of a band
-    compares its members with its smallest one; what these links leave in more than one component is compared across
-    the components, by a join in small buckets and in blocks of sketches in large ones. So every pair that shares a band
+    compares its members with its smallest one, large buckets then also what stands outside a component with a few of its
+    members, as long as that merges components; what is still in more than one component is compared across the
+    components, by a join in small buckets and in blocks of sketches in large ones. So every pair that shares a band
     is either in one component already or compared; the chance to share none is the only one to miss a link.
 
     Defined results: null, empty and blank texts have no shingles, are linked with nothing and kept; a row without doc_id takes part in
@@ -168,15 +199,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     members = heads.select("node", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("m")).where("pivot < last")
     shared = scratch.keep(members.join(buckets.select("key", "pivot", "m"), "key"), "buckets")
-    samples = bands * rows
-    links = _confirm(shared.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), heads, docs, k, percent, samples, scratch)
+    links = _confirm(shared.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), heads, docs, k, percent, scratch)
     found = components(links, scratch)
 
     # what is still apart within a bucket of three or more
-    own = shared.where("m > 2").join(found, "node", "left").select("key", "node", "m", F.coalesce("component", "node").alias("component"))
-    own = scratch.keep(own, "members")
-    open_ = own.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    own = scratch.keep(own.join(open_, "key"), "open")
+    own = _apart_in_buckets(shared, found, scratch)
+    while tried := _sampled(own.where(F.col("m") > SMALL), scratch):
+        outside, pairs = tried
+        new = _confirm(pairs, heads, docs, k, percent, scratch)
+        merged = new.count()
+        if merged:
+            links = links.unionByName(new)
+            found = components(links, scratch)
+            own = _apart_in_buckets(shared, found, scratch)
+        if merged * 20 < outside:
+            break
     few = own.where(F.col("m") <= SMALL)
     other = few.select("key", F.col("node").alias("b"), F.col("component").alias("c"))
     pairs = few.join(other, "key").where("node < b and component <> c").select(F.col("node").alias("a"), "b")
@@ -187,9 +224,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         many = many.withColumn("n", n_blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
         many = many.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
         many = many.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side"), "node", "component")
-        many = many.join(heads.select("node", "sketch"), "node").groupBy("key", "i", "j")
-        pairs = pairs.unionByName(many.applyInPandas(_blocks(most_differing(percent / 100 - SLACK, samples)), "a long, b long"))
-    more = _confirm(pairs.distinct(), heads, docs, k, percent, samples, scratch)
+        many = many.join(heads.select("node", "sketch", "bands"), "node").groupBy("key", "i", "j")
+        pairs = pairs.unionByName(many.applyInPandas(_blocks(most_differing(percent / 100 - SLACK)), "a long, b long"))
+    more = _confirm(pairs.distinct(), heads, docs, k, percent, scratch)
     if not more.isEmpty():
         found = components(links.unionByName(more), scratch)
 
