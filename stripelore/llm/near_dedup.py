@@ -19,9 +19,9 @@ from .shingles import chunks, mix64, shingle_hashes, word_hashes
 #: 25 bands of 5 samples: a pair at similarity 0.8 shares no band once in 20,000 times, one at 0.85 once in 2 million.
 BANDS, ROWS = 25, 5
 #: MinHash samples that an odd sketch folds (the bands take the first of them) and its bits, a multiple of 64.
-SAMPLES, SKETCH = 512, 2048
+SAMPLES, SKETCH = 1024, 4096
 #: A candidate goes on to the full sets if its sketches put it at the threshold less this, more than four standard errors.
-SLACK = 0.08
+SLACK = 0.055
 #: Buckets of up to so many sets are compared by a join, larger ones in blocks of so many.
 SMALL, BLOCK = 32, 256
 
@@ -133,7 +133,7 @@ def _blocks(most: int):
         key, a, b = pdf.key.iloc[0], pdf[pdf.side == 0], pdf[pdf.side == 1]
         if b.empty:  # a block with itself
             b = a
-        x, y = np.stack(a.sketch.to_list()), np.stack(b.sketch.to_list())
+        x, y = (np.stack(s.to_list()).astype(np.int64).view(np.uint64) for s in (a.sketch, b.sketch))
         apart = np.zeros((len(x), len(y)), np.int32)
         for w in range(x.shape[1]):
             apart += np.bitwise_count(x[:, w, None] ^ y[None, :, w]).astype(np.int32)
