@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, join_small, map_arrow, table
+from .common import Scratch, map_arrow, table
 
 #: A sentence ends behind stops with white space after them, or behind line breaks.
 END = re.compile(r"[.!?]+[ \t\n\r\f\v]+|\n[ \t\n\r\f\v]*")
 BLANK = " \t\n\r\f\v"
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def sentences(text: str) -> list[str]:
@@ -27,18 +28,21 @@ def sentences(text: str) -> list[str]:
     return [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True) if a < b]
 
 
-def span_hashes(pieces: list[str], span: int) -> list[bytes]:
-    """128-bit hashes of every run of `span` consecutive sentences, without the white space around each."""
+def span_hashes(pieces: list[str], span: int, alone: int) -> list[tuple[int, int, bytes]]:
+    """(first sentence, sentences, 128-bit hash) of every run of `span` consecutive sentences and of every sentence of `alone` words or
+    more by itself, without the white space around each sentence."""
     bare = [p.strip(BLANK) for p in pieces]
-    return [xxhash.xxh3_128_digest("\n".join(bare[i : i + span]).encode("utf-8", "surrogatepass")) for i in range(len(bare) - span + 1)]
+    runs = [(i, span, "\n".join(bare[i : i + span])) for i in range(len(bare) - span + 1)]
+    runs += [(i, 1, p) for i, p in enumerate(bare) if len(p) >= 2 * alone - 1 and len(WORDS.findall(p)) >= alone]
+    return [(i, n, xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass"))) for i, n, t in runs]
 
 
-def _spans(span: int):
+def _spans(span: int, alone: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hashes = [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                found = set(span_hashes(sentences(text.as_py() or ""), span))
+                found = {h for _, _, h in span_hashes(sentences(text.as_py() or ""), span, alone)}
                 hashes.extend(found)
                 ids.extend([doc_id] * len(found))
                 if len(ids) > 100_000:
@@ -49,12 +53,12 @@ def _spans(span: int):
     return run
 
 
-def covered(hashes: list[bytes], gone: set[bytes], n: int, span: int) -> np.ndarray:
+def covered(spans: list[tuple[int, int, bytes]], gone: set[bytes], n: int) -> np.ndarray:
     """Which of n sentences lie in a span whose first 8 bytes are in `gone`, or that comes a second time in this text."""
     out, seen = np.zeros(n, bool), set()
-    for i, h in enumerate(hashes):
+    for i, size, h in spans:
         if h[:8] in gone or h in seen:
-            out[i : i + span] = True
+            out[i : i + size] = True
         seen.add(h)
     return out
 
@@ -66,7 +70,7 @@ def without(pieces: list[str], drop: np.ndarray, min_words: int) -> tuple[str, i
         j = i
         while j < n and drop[j] == drop[i]:
             j += 1
-        if drop[i] and sum(len(re.findall(r"[^\x20\x09-\x0D]+", p)) for p in pieces[i:j]) >= min_words:
+        if drop[i] and sum(len(WORDS.findall(p)) for p in pieces[i:j]) >= min_words:
             gone += j - i
         else:
             kept += pieces[i:j]
@@ -74,7 +78,7 @@ def without(pieces: list[str], drop: np.ndarray, min_words: int) -> tuple[str, i
     return "".join(kept), gone
 
 
-def _cut(span: int, min_words: int):
+def _cut(span: int, min_words: int, alone: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gone, column = batch.column("__gone"), batch.column("__text")
@@ -83,13 +87,13 @@ def _cut(span: int, min_words: int):
                 text = text.as_py()
                 pieces = sentences(text or "")
                 counts.append(len(pieces))
-                hashes = span_hashes(pieces, span)
+                spans = span_hashes(pieces, span, alone)
                 bad = set(g.as_py() or ())
-                if not bad and len(set(hashes)) == len(hashes):
+                if not bad and len({h for _, _, h in spans}) == len(spans):
                     texts.append(text)
                     drops.append(0)
                     continue
-                new, n = without(pieces, covered(hashes, bad, len(pieces), span), min_words)
+                new, n = without(pieces, covered(spans, bad, len(pieces)), min_words)
                 texts.append(new)
                 drops.append(n)
             yield pa.RecordBatch.from_arrays(
@@ -100,10 +104,11 @@ def _cut(span: int, min_words: int):
     return run
 
 
-def remove_repeated_spans(docs: DataFrame, span: int = 2, min_words: int = 20) -> DataFrame:
+def remove_repeated_spans(docs: DataFrame, span: int = 2, min_words: int = 20, alone: int = 25) -> DataFrame:
     """The rows of docs, all columns, with repeated passages cut from text; adds n_sentences and n_removed.
 
-    Every run of `span` consecutive sentences is hashed and joined over all documents. The first place of a
+    Every run of `span` consecutive sentences is hashed and joined over all documents, and so is a sentence of `alone` words or more, which
+    can be most of a passage whose other sentences are cut at its ends. The first place of a
     run is in the document with the smallest doc_id, at its first position there; sentences that any other place covers
     go, in stretches of min_words words or more (shorter ones are greetings, headings and other common phrases).
 
@@ -115,16 +120,18 @@ def remove_repeated_spans(docs: DataFrame, span: int = 2, min_words: int = 20) -
     spark = docs.sparkSession
     scratch = Scratch(spark, "spans")
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spans = scratch.keep(map_arrow(texts, _spans(span), "h binary, doc_id long"), "spans")
+    spans = scratch.keep(map_arrow(texts, _spans(span, alone), "h binary, doc_id long"), "spans")
     repeated = spans.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first")
     later = spans.join(repeated, "h").where("doc_id > first")
     gone = scratch.keep(later.groupBy("doc_id").agg(F.collect_list(F.substring("h", 1, 8)).alias("gone")), "gone")
-    size = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
     scratch.drop(spans)
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("__text"), F.col("doc_id").cast("long").alias("__id"))
-    out = join_small(named, gone.select(F.col("doc_id").alias("__gone_id"), F.col("gone").alias("__gone")), F.col("__id") == F.col("__gone_id"), "left", 40 * size[0] + 24 * size[1], 1)
-    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("text", T.StringType()), T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
-    cut = map_arrow(out.select("row", "__text", "__gone"), _cut(span, min_words), schema)
+    rest = [c for c in docs.columns if c not in ("text", "n_sentences", "n_removed")]
+    row = F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row")
+    named = docs.select(row, F.col("text").cast("string").alias("__text"), F.col("doc_id").cast("long").alias("__id"))
+    # texts go by doc_id at every size: what is removed grows with the corpus
+    out = named.join(gone.select(F.col("doc_id").alias("__gone_id"), F.col("gone").alias("__gone")), F.col("__id") == F.col("__gone_id"), "left")
+    fields = [T.StructField("row", named.schema["row"].dataType), T.StructField("text", T.StringType()), T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())]
+    cut = map_arrow(out.select("row", "__text", "__gone"), _cut(span, min_words, alone), T.StructType(fields))
     kept = [F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in ("n_sentences", "n_removed")]
     return cut.select(*kept, "n_sentences", "n_removed")
 
@@ -142,9 +149,13 @@ i AS (SELECT doc_id, unnest(s) AS piece, unnest(range(len(s))) AS pos FROM p),
 n AS (SELECT *, trim(piece, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM i),
 r AS (SELECT *, lead(bare) OVER (PARTITION BY doc_id ORDER BY pos) AS after FROM n),
 f AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY bare || chr(10) || after ORDER BY doc_id, pos) > 1 AS again FROM r WHERE after IS NOT NULL),
+o AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY bare ORDER BY doc_id, pos) > 1 AS again
+  FROM n WHERE len(regexp_extract_all(bare, '[^\x20\x09-\x0D]+')) >= 25),
 c AS (
-  SELECT r.doc_id, r.pos, r.piece, coalesce(f.again, false) OR coalesce(lag(f.again) OVER (PARTITION BY r.doc_id ORDER BY r.pos), false) AS gone
-  FROM r LEFT JOIN f ON r.doc_id = f.doc_id AND r.pos = f.pos),
+  SELECT r.doc_id, r.pos, r.piece, coalesce(f.again, false) OR coalesce(lag(f.again) OVER (PARTITION BY r.doc_id ORDER BY r.pos), false)
+         OR coalesce(o.again, false) AS gone
+  FROM r LEFT JOIN f ON r.doc_id = f.doc_id AND r.pos = f.pos LEFT JOIN o ON r.doc_id = o.doc_id AND r.pos = o.pos),
 g AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, gone ORDER BY pos) AS stretch FROM c),
 w AS (SELECT *, gone AND sum(len(regexp_extract_all(piece, '[^\x20\x09-\x0D]+'))) OVER (PARTITION BY doc_id, gone, stretch) >= 20 AS cut FROM g)
 SELECT p.doc_id, CASE WHEN p.text IS NULL THEN NULL ELSE coalesce(string_agg(w.piece, '' ORDER BY w.pos) FILTER (NOT w.cut), '') END AS text,
