@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,9 +66,12 @@ query("scan_direct_string", _BY_FLAG)(_by_flag(orc__dictionary__key__threshold="
 # -- types: values are cast before the files are written and come back as they went
 
 
-def _typed(table: str, key: list[str], made: dict[str, Column], out: dict[str, Column] | None = None, **options: str) -> Query:
+def _typed(table: str, key: list[str], make: Callable[[], dict[str, Column]], show: Callable[[], dict[str, Column]] | None = None, **options: str) -> Query:
+    """Columns come from functions, as none can be made before there is a session."""
+
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        name = "typed-" + "-".join(made)
+        made, out = make(), show() if show else None
+        name = "typed-" + hashlib.sha1(repr(sorted((n, str(c)) for n, c in made.items())).encode()).hexdigest()[:12]
         path = as_orc(spark, sf, table, name, lambda df: df.select(*key, *[c.alias(n) for n, c in made.items()]), **options)
         df = OrcReader(spark, path).scan()
         return df.select(*key, *[c.alias(n) for n, c in out.items()]) if out else df
@@ -81,40 +85,40 @@ def _cast(kind: str) -> Column:
 
 _KEY = ["l_orderkey", "l_linenumber"]
 for _name, _kind, _duck in [("tinyint", "tinyint", "TINYINT"), ("smallint", "smallint", "SMALLINT"), ("int", "int", "INTEGER"), ("bigint", "bigint", "BIGINT")]:
-    query(f"type_{_name}", f"SELECT l_orderkey, l_linenumber, CAST(nullif(l_linenumber, 3) AS {_duck}) AS v FROM lineitem")(_typed("lineitem", _KEY, {"v": _cast(_kind)}))
+    query(f"type_{_name}", f"SELECT l_orderkey, l_linenumber, CAST(nullif(l_linenumber, 3) AS {_duck}) AS v FROM lineitem")(_typed("lineitem", _KEY, lambda k=_kind: {"v": _cast(k)}))
 query("type_bool", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 2 THEN NULL ELSE l_returnflag = 'R' END AS v FROM lineitem")(
-    _typed("lineitem", _KEY, {"v": F.expr("CASE WHEN l_linenumber = 2 THEN NULL ELSE l_returnflag = 'R' END")})
+    _typed("lineitem", _KEY, lambda: {"v": F.expr("CASE WHEN l_linenumber = 2 THEN NULL ELSE l_returnflag = 'R' END")})
 )
-query("type_float", "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS FLOAT) AS v FROM lineitem")(_typed("lineitem", _KEY, {"v": F.expr("CAST(l_quantity AS FLOAT)")}))
+query("type_float", "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS FLOAT) AS v FROM lineitem")(_typed("lineitem", _KEY, lambda: {"v": F.expr("CAST(l_quantity AS FLOAT)")}))
 query("type_double", "SELECT l_orderkey, l_linenumber, nullif(l_extendedprice, l_quantity) AS v FROM lineitem")(
-    _typed("lineitem", _KEY, {"v": F.expr("nullif(l_extendedprice, l_quantity)")})
+    _typed("lineitem", _KEY, lambda: {"v": F.expr("nullif(l_extendedprice, l_quantity)")})
 )
 query("type_decimal", "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DECIMAL(12, 2)) AS v FROM lineitem")(
-    _typed("lineitem", _KEY, {"v": F.expr("CAST(l_quantity AS DECIMAL(12, 2))")})
+    _typed("lineitem", _KEY, lambda: {"v": F.expr("CAST(l_quantity AS DECIMAL(12, 2))")})
 )
-query("type_date", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS v FROM orders")(_typed("orders", ["o_orderkey"], {"v": F.expr("CAST(o_orderdate AS DATE)")}))
+query("type_date", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS v FROM orders")(_typed("orders", ["o_orderkey"], lambda: {"v": F.expr("CAST(o_orderdate AS DATE)")}))
 query("type_timestamp", "SELECT event_id, ts AS v FROM events")(
-    _typed("events", ["event_id"], {"v": F.expr("CAST(ts AS TIMESTAMP)")}, {"v": F.expr("CAST(v AS TIMESTAMP_NTZ)")})
+    _typed("events", ["event_id"], lambda: {"v": F.expr("CAST(ts AS TIMESTAMP)")}, lambda: {"v": F.expr("CAST(v AS TIMESTAMP_NTZ)")})
 )
 query("type_binary", "SELECT p_partkey, upper(hex(encode(p_name))) AS v FROM part")(
-    _typed("part", ["p_partkey"], {"v": F.expr("encode(p_name, 'UTF-8')")}, {"v": F.hex("v")})
+    _typed("part", ["p_partkey"], lambda: {"v": F.expr("encode(p_name, 'UTF-8')")}, lambda: {"v": F.hex("v")})
 )
 query("type_string", "SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS v, c_name AS w FROM customer")(
-    _typed("customer", ["c_custkey"], {"v": F.expr("nullif(c_mktsegment, 'BUILDING')"), "w": F.col("c_name")})
+    _typed("customer", ["c_custkey"], lambda: {"v": F.expr("nullif(c_mktsegment, 'BUILDING')"), "w": F.col("c_name")})
 )
 query("type_struct", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END AS a, CASE WHEN o_orderkey % 5 <> 0 THEN nullif(o_custkey, 7) END AS b, o_orderkey % 5 = 0 AS none FROM orders")(
     _typed(
-        "orders", ["o_orderkey"], {"s": F.expr("CASE WHEN o_orderkey % 5 <> 0 THEN named_struct('a', o_orderstatus, 'b', nullif(o_custkey, 7L)) END")},
-        {"a": F.col("s.a"), "b": F.col("s.b"), "none": F.col("s").isNull()},
+        "orders", ["o_orderkey"], lambda: {"s": F.expr("CASE WHEN o_orderkey % 5 <> 0 THEN named_struct('a', o_orderstatus, 'b', nullif(o_custkey, 7L)) END")},
+        lambda: {"a": F.col("s.a"), "b": F.col("s.b"), "none": F.col("s").isNull()},
     )
 )
 query("type_list", "SELECT vec_id, len(embedding)::INTEGER AS n, embedding[1] AS first, embedding[len(embedding)] AS last FROM embeddings")(
-    _typed("embeddings", ["vec_id"], {"v": F.col("embedding")}, {"n": F.size("v"), "first": F.col("v")[0], "last": F.element_at("v", -1)})
+    _typed("embeddings", ["vec_id"], lambda: {"v": F.col("embedding")}, lambda: {"n": F.size("v"), "first": F.col("v")[0], "last": F.element_at("v", -1)})
 )
 query("type_map", "SELECT p_partkey, p_brand AS brand, p_size::VARCHAR AS size, 2::INTEGER AS n FROM part")(
     _typed(
-        "part", ["p_partkey"], {"m": F.expr("map('brand', p_brand, 'size', CAST(p_size AS STRING))")},
-        {"brand": F.col("m")["brand"], "size": F.col("m")["size"], "n": F.size("m")},
+        "part", ["p_partkey"], lambda: {"m": F.expr("map('brand', p_brand, 'size', CAST(p_size AS STRING))")},
+        lambda: {"brand": F.col("m")["brand"], "size": F.col("m")["size"], "n": F.size("m")},
     )
 )
 query(
@@ -124,11 +128,11 @@ query(
 )(
     _typed(
         "orders", ["o_orderkey"],
-        {"v": F.expr(
+        lambda: {"v": F.expr(
             "CASE WHEN o_orderkey % 4 = 0 THEN NULL WHEN o_orderkey % 4 = 1 THEN slice(array(named_struct('s', o_orderstatus, 'k', o_custkey)), 1, 0) "
             "ELSE array(named_struct('s', o_orderstatus, 'k', o_custkey), NULL, CASE WHEN o_orderkey % 4 = 2 THEN named_struct('s', CAST(NULL AS STRING), 'k', o_custkey) END) END"
         )},
-        {"n": F.when(F.col("v").isNotNull(), F.size("v")), "first": F.expr("get(v, 0).s"), "last": F.expr("get(v, 2).k")},
+        lambda: {"n": F.when(F.col("v").isNotNull(), F.size("v")), "first": F.expr("get(v, 0).s"), "last": F.expr("get(v, 2).k")},
     )
 )
 
@@ -149,8 +153,6 @@ def type_union(spark: SparkSession, sf: str) -> DataFrame:
     union = pa.UnionArray.from_dense(tags, pa.array(range(len(keys)), pa.int32()), [numbers, names])
     out = pa.BufferOutputStream()
     paorc.write_table(pa.table({"n_nationkey": rows.column("n_nationkey"), "u": union}), out)
-    import hashlib
-
     path = f"{shared_dir(spark)}/orc-union-{hashlib.sha1(sf.encode()).hexdigest()[:12]}.orc"
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
