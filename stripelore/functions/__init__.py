@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import rle
 from ..codecs import Compression
@@ -36,25 +37,26 @@ def varint_decode(c: Column) -> Column:
     return F.aggregate(octets, F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 7).bitwiseOR(b.bitwiseAND(F.lit(127))))
 
 
-@F.pandas_udf("array<bigint>")
+# types as objects: text would need a session when this module is imported
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def decode_integers(data: pd.Series, encoding: pd.Series, signed: pd.Series) -> pd.Series:
     """All numbers of a decompressed stream; encoding is DIRECT, DICTIONARY, DIRECT_V2 or DICTIONARY_V2. Null data give null."""
     return pd.Series([None if d is None else rle.decode_integers(bytes(d), e, bool(s)) for d, e, s in zip(data, encoding, signed, strict=True)])
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def decode_bytes(data: pd.Series) -> pd.Series:
     """All bytes (0 to 255) of byte runs."""
     return pd.Series([None if d is None else rle.decode_bytes(bytes(d)).astype("int32") for d in data])
 
 
-@F.pandas_udf("array<boolean>")
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
 def decode_booleans(data: pd.Series, count: pd.Series) -> pd.Series:
     """`count` bits of byte runs."""
     return pd.Series([None if d is None else rle.decode_booleans(bytes(d), int(n)) for d, n in zip(data, count, strict=True)])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def decompress_blocks(data: pd.Series, codec: pd.Series, block_size: pd.Series) -> pd.Series:
     """The bytes of a framed stream; codec is NONE, ZLIB, SNAPPY, LZ4 or ZSTD."""
     return pd.Series([None if d is None else Compression(COMPRESSIONS.index(c), int(n)).read(bytes(d)) for d, c, n in zip(data, codec, block_size, strict=True)])

@@ -37,8 +37,8 @@ def open_source(path: str, start: int = 0, end: int | None = None):
     else:
         system, inner = pafs.LocalFileSystem(), path
     f = system.open_input_file(inner)
-    size = f.size()
-    read: ReadAt = lambda at, n: f.read_at(max(0, min(n, size - at)), at)
+    size = whole = f.size()
+    read: ReadAt = lambda at, n: f.read_at(max(0, min(n, whole - at)), at)
     if start or end is not None:
         read, size = part_of(read, start, size if end is None else end)
     return read, size, f.close
