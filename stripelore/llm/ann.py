@@ -74,8 +74,31 @@ def _edges(u, v, sim) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(sim, pa.float32())], ["u", "v", "sim"])
 
 
+def _whole(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """Rows in the order of a column -> the same rows, those with one value of it never apart."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        x = batch.column(column).to_numpy()
+        before = np.flatnonzero(x != x[-1])
+        if len(before):
+            cut = int(before[-1]) + 1
+        elif len(held) > 1 and held[-2].column(column)[-1].as_py() != x[-1]:
+            cut = 0
+        else:
+            continue
+        held[-1] = batch.slice(0, cut)
+        if rows := [h for h in held if len(h)]:
+            yield pa.Table.from_batches(rows).combine_chunks()
+        held = [batch.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def _leaves(dim: int, top: int):
-    """Rows in the order of a leaf key -> the nearest within each leaf of consecutive rows."""
+    """Rows of (leaf, node, code), those of one leaf together -> the nearest within each leaf."""
 
     def one(rows: pa.Table) -> pa.RecordBatch:
         ids, x = rows.column("node").to_numpy(), _matrix(rows.column("code"), dim)
@@ -86,18 +109,12 @@ def _leaves(dim: int, top: int):
         return _edges(np.repeat(ids, k), ids[best.ravel()], np.take_along_axis(sims, best, 1).ravel())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            rows = pa.Table.from_batches(held)
-            while len(rows) >= 2 * LEAF:
-                yield one(rows.slice(0, LEAF))
-                rows = rows.slice(LEAF)
-            held = rows.combine_chunks().to_batches()
-        if held:
-            rows = pa.Table.from_batches(held)
-            if len(rows) > 1:
-                yield one(rows)
+        for rows in _whole(batches, "leaf"):
+            leaf = rows.column("leaf").to_numpy()
+            starts = np.flatnonzero(np.concatenate(([True], leaf[1:] != leaf[:-1])))
+            for a, b in zip(starts, np.append(starts[1:], len(leaf)), strict=True):
+                if b - a > 1:
+                    yield one(rows.slice(a, b - a))
 
     return run
 
@@ -107,18 +124,8 @@ def _local_joins(dim: int):
     nearer than its farthest neighbour, of pairs in which one is new."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            rows = pa.Table.from_batches(held).combine_chunks()
-            w = rows.column("w").to_numpy()
-            cut = int(np.searchsorted(w != w[-1], False)) if len(w) and w[0] != w[-1] else 0
-            cut = int(np.flatnonzero(w != w[-1])[-1]) + 1 if cut else 0
-            if cut:
-                yield from joined(rows.slice(0, cut))
-            held = rows.slice(cut).combine_chunks().to_batches()
-        if held:
-            yield from joined(pa.Table.from_batches(held))
+        for rows in _whole(batches, "w"):
+            yield from joined(rows)
 
     def joined(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         w, ids = rows.column("w").to_numpy(), rows.column("node").to_numpy()
@@ -162,6 +169,27 @@ def _grouped(df: DataFrame, column: str) -> DataFrame:
     return df.repartition(n, column).sortWithinPartitions(column)
 
 
+def _ordered(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(leaf, node) for all trees. A tree orders the nodes by its leaf key and cuts them into halves of leaves by their place, however Spark
+    deals out the rows; a leaf is two halves in a row, so every half is linked with the ones beside it."""
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = nodes.select("node", F.posexplode("leaves").alias("tree", "key")).withColumn("tie", F.xxhash64("node", "tree"))
+    keys = keys.repartitionByRange(n, "tree", "key", "tie", "node").sortWithinPartitions("tree", "key", "tie", "node")
+    placed = scratch.keep(keys.select("tree", "node", F.monotonically_increasing_id().alias("at")), "order")
+    # partition and row of each place: a count for each partition makes them places in the whole order
+    parts = placed.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("rows"))
+    before = F.sum("rows").over(Window.orderBy("part")) - F.col("rows")
+    parts = F.broadcast(parts.select("part", before.alias("before")))
+    placed = placed.join(parts, F.shiftright("at", 33) == F.col("part"))
+    many = nodes.count()
+    place = F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) - F.col("tree") * many
+    halves = max(1, round(many / (LEAF // 2)))  # of even size, and at least one whole leaf
+    half = F.floor(place * halves / many).cast("long")
+    leaf = F.array(half, half - 1) if halves > 1 else F.array(half)
+    leaf = F.filter(leaf, lambda x: (x >= 0) & (x < max(1, halves - 1)))
+    return placed.select("tree", "node", F.explode(leaf).alias("leaf")).select((F.col("tree") * halves + F.col("leaf")).alias("leaf"), "node")
+
+
 class Index:
     """nodes: one row for each different vector (node, its smallest vec_id; vec; code). members: (node, vec_id) of all. graph: (u, v, sim, rank)."""
 
@@ -193,12 +221,9 @@ def build(vectors: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, seed:
     if nodes.isEmpty():
         return None
 
-    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = None
-    for t in range(TREES):
-        order = nodes.select("node", "code", F.col("leaves")[t].alias("leaf")).repartitionByRange(n, "leaf", "node").sortWithinPartitions("leaf", "node")
-        found = map_arrow(order.select("node", "code"), _leaves(dim, degree // 2), "u long, v long, sim float")
-        first = found if first is None else first.unionByName(found)
+    orders = _ordered(nodes, scratch)
+    leaves = _grouped(orders.join(nodes.select("node", "code"), "node").select("leaf", "node", "code"), "leaf")
+    first = map_arrow(leaves, _leaves(dim, degree // 2), "u long, v long, sim float")
     first = first.groupBy("u", "v").agg(F.max("sim").alias("sim"))
     graph = scratch.keep(_nearest(first, degree).withColumn("new", F.lit(True)), "graph")
     codes = nodes.select("node", "code")

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stripelore.llm import ann
@@ -47,6 +48,22 @@ def test_few_vectors(spark):
     assert ann.build(df.limit(0)) is None
 
 
+def test_fewer_vectors_than_partitions(spark):
+    rnd = np.random.default_rng(5)
+    rows = [(i, rnd.standard_normal(8).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 120)
+    try:
+        got = {}
+        for r in ann.search(ann.build(df), df.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"))).collect():
+            got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = exact(rows, range(0, 60, 10))
+    assert {q: [i for _, i in sorted(v)] for q, v in got.items()} == {q: [i for _, i in v] for q, v in want.items()}
+
+
 @pytest.fixture(scope="module")
 def staged(spark, tmp_path_factory):
     out = {"start": spark.read.parquet(f"{SF}/documents.parquet")}
