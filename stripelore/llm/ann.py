@@ -38,7 +38,7 @@ def _usable(value, dim: int | None) -> np.ndarray | None:
 
 
 def _prepare(dim: int, seed: int):
-    """(vec_id, embedding) -> vec_id, vec (doubles), code (8-bit components of the unit vector), key (names equal vectors), leaf keys."""
+    """(vec_id, embedding) -> vec_id, vec (doubles), code (unit vector in single precision), key (names equal vectors), leaf keys."""
     planes = np.random.default_rng(seed).standard_normal((TREES, dim, 62)).astype(np.float32)
     bits = (np.int64(1) << np.arange(61, -1, -1, dtype=np.int64)).astype(np.int64)
 
@@ -53,9 +53,9 @@ def _prepare(dim: int, seed: int):
                     vecs.append(raw)
                     keys.append(xxhash.xxh3_128_digest(raw))
                     unit = x / np.sqrt((x * x).sum())
-                    codes.append(np.rint(unit * 127).astype(np.int8).tobytes())
+                    codes.append(unit.astype(np.float32).tobytes())
             if ids:
-                unit = np.frombuffer(b"".join(codes), np.int8).reshape(len(ids), dim).astype(np.float32)
+                unit = np.frombuffer(b"".join(codes), np.float32).reshape(len(ids), dim)
                 signs = np.stack([((unit @ p) > 0) @ bits for p in planes], axis=1)
                 leaves = signs.tolist()
             yield pa.RecordBatch.from_arrays(
@@ -67,11 +67,14 @@ def _prepare(dim: int, seed: int):
 
 
 def _matrix(codes: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(codes.to_pylist()), np.int8).reshape(-1, dim).astype(np.float32) / np.float32(127)
+    """Unit vectors in double precision. Their dot products tell near copies apart as finely as single precision holds the
+    components themselves, much finer than dot products of single precision do."""
+    x = np.frombuffer(b"".join(codes.to_pylist()), np.float32).reshape(-1, dim).astype(np.float64)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def _edges(u, v, sim) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(sim, pa.float32())], ["u", "v", "sim"])
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(sim, pa.float64())], ["u", "v", "sim"])
 
 
 def _whole(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
@@ -204,7 +207,7 @@ def build(vectors: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, seed:
     vec_id. Equal vectors are one node, so a vector that very many rows share is met once. The first graph comes from leaves of
     vectors whose random projections agree in sign; then, in each round, every node joins its neighbours and a bounded sample of the
     nodes it is a neighbour of, pair by pair, and each offers the other a place in its list: neighbours of neighbours
-    become neighbours. Joins work on 8-bit codes; ids and codes alone are shuffled."""
+    become neighbours. Joins work on unit vectors of single precision; ids and those alone are shuffled."""
     scratch = Scratch(vectors.sparkSession, "ann")
     vectors = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     lengths = vectors.groupBy(F.size("embedding").alias("n")).count().where("n > 0").orderBy(F.desc("count"), "n").limit(1).collect()
@@ -223,12 +226,12 @@ def build(vectors: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, seed:
 
     orders = _ordered(nodes, scratch)
     leaves = _grouped(orders.join(nodes.select("node", "code"), "node").select("leaf", "node", "code"), "leaf")
-    first = map_arrow(leaves, _leaves(dim, degree // 2), "u long, v long, sim float")
+    first = map_arrow(leaves, _leaves(dim, degree // 2), "u long, v long, sim double")
     first = first.groupBy("u", "v").agg(F.max("sim").alias("sim"))
     graph = scratch.keep(_nearest(first, degree).withColumn("new", F.lit(True)), "graph")
     codes = nodes.select("node", "code")
     for _ in range(rounds):
-        floor = graph.groupBy("u").agg(F.when(F.count("*") >= degree, F.min("sim")).otherwise(F.lit(-2.0).cast("float")).alias("floor"))
+        floor = graph.groupBy("u").agg(F.when(F.count("*") >= degree, F.min("sim")).otherwise(F.lit(-2.0)).alias("floor"))
         near = graph.where(F.col("rank") <= NEAREST).select(F.col("u").alias("w"), F.col("v").alias("node"), "new")
         # a bounded sample of each node's reverse neighbours, in two steps for nodes that very many have as a neighbour
         back = graph.select(F.col("v").alias("w"), F.col("u").alias("node"), "new", F.xxhash64("u", "v").alias("h"))
@@ -236,8 +239,8 @@ def build(vectors: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, seed:
             nth = F.row_number().over(Window.partitionBy(*part).orderBy(F.desc("new"), "h"))
             back = back.withColumn("nth", nth).where(F.col("nth") <= REVERSE)
         both = near.unionByName(back.select("w", "node", "new")).groupBy("w", "node").agg(F.max("new").alias("new"))
-        facts = codes.join(floor.select(F.col("u").alias("node"), "floor"), "node", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0).cast("float")))
-        offered = map_arrow(_grouped(both.join(facts, "node").select("w", "node", "code", "floor", "new"), "w"), _local_joins(dim), "u long, v long, sim float")
+        facts = codes.join(floor.select(F.col("u").alias("node"), "floor"), "node", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
+        offered = map_arrow(_grouped(both.join(facts, "node").select("w", "node", "code", "floor", "new"), "w"), _local_joins(dim), "u long, v long, sim double")
         merged = graph.select("u", "v", "sim", F.lit(False).alias("new")).unionByName(offered.withColumn("new", F.lit(True)))
         merged = merged.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
         old, graph = graph, scratch.keep(_nearest(merged, degree), "graph")
@@ -255,8 +258,8 @@ def _similar(dim: int):
         for batch in batches:
             for first in range(0, len(batch), 16384):
                 b = batch.slice(first, 16384)
-                sim = np.einsum("ij,ij->i", _matrix(b.column("q"), dim), _matrix(b.column("code"), dim)).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([b.column("query"), b.column("node"), pa.array(sim, pa.float32())], ["query", "node", "sim"])
+                sim = np.einsum("ij,ij->i", _matrix(b.column("q"), dim), _matrix(b.column("code"), dim))
+                yield pa.RecordBatch.from_arrays([b.column("query"), b.column("node"), pa.array(sim, pa.float64())], ["query", "node", "sim"])
 
     return run
 
@@ -282,7 +285,7 @@ def search(index: Index, queries: DataFrame, k: int = 5, beam: int = BEAM, width
     # queries with one vector walk once
     walks = scratch.keep(asked.select(F.col("node").alias("query")).distinct().join(codes.select(F.col("node").alias("query"), F.col("code").alias("q")), "query"), "walks")
     lists = index.graph.select(F.col("u").alias("node"), F.col("v").alias("next"))
-    start = walks.select("query", F.col("query").alias("node"), F.lit(2.0).cast("float").alias("sim"), F.lit(False).alias("done"))
+    start = walks.select("query", F.col("query").alias("node"), F.lit(2.0).alias("sim"), F.lit(False).alias("done"))
     state = scratch.keep(start, "state")
     for _ in range(steps):
         nth = F.row_number().over(Window.partitionBy("query").orderBy("done", F.desc("sim"), "node"))
@@ -293,7 +296,7 @@ def search(index: Index, queries: DataFrame, k: int = 5, beam: int = BEAM, width
             break
         reached = front.join(lists, "node").select("query", F.col("next").alias("node")).distinct().join(state.select("query", "node"), ["query", "node"], "left_anti")
         pairs = reached.join(codes, "node").join(walks, "query").select("query", "node", "q", "code")
-        fresh = map_arrow(pairs, _similar(index.dim), "query long, node long, sim float").withColumn("done", F.lit(False))
+        fresh = map_arrow(pairs, _similar(index.dim), "query long, node long, sim double").withColumn("done", F.lit(False))
         every = chosen.select("query", "node", "sim", (F.col("done") | F.col("go")).alias("done")).unionByName(fresh)
         rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "node"))
         old, state = state, scratch.keep(every.withColumn("nth", rank).where(F.col("nth") <= beam).drop("nth"), "state")

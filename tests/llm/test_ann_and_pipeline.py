@@ -64,6 +64,19 @@ def test_fewer_vectors_than_partitions(spark):
     assert {q: [i for _, i in sorted(v)] for q, v in got.items()} == {q: [i for _, i in v] for q, v in want.items()}
 
 
+def test_tight_cluster(spark):
+    rnd = np.random.default_rng(6)
+    centre = rnd.standard_normal(16)
+    x = np.concatenate((centre * (1 + 0.001 * rnd.standard_normal((1500, 16))), rnd.standard_normal((300, 16))))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(ann.build(df), df.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"))).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = unit[::50] @ unit.T
+    sims[np.arange(36), np.arange(0, 1800, 50)] = -2
+    want = {(50 * q, i) for q, row in enumerate(np.argsort(-sims, axis=1)[:, :5]) for i in row}
+    assert len(want & {(r.query_id, r.vec_id) for r in got}) >= 0.9 * len(want)
+
+
 @pytest.fixture(scope="module")
 def staged(spark, tmp_path_factory):
     out = {"start": spark.read.parquet(f"{SF}/documents.parquet")}
