@@ -24,6 +24,10 @@ OFFERS = 8
 ROUNDS = 6
 #: Candidates that a walk keeps, how many of them it expands at a time, and steps at most.
 BEAM, WIDTH, STEPS = 64, 16, 12
+#: So many queries are also answered exactly; if their walks found a smaller share of the neighbours than this, all queries are.
+AUDIT, RECALL = 200, 0.95
+#: Queries that one exact scan answers, and nodes that it compares at a time.
+LOT, CHUNK = 2048, 512
 
 
 def _usable(value, dim: int | None) -> np.ndarray | None:
@@ -274,6 +278,75 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("query"), b.column("node"), pa.array(score, pa.float64())], ["query", "node", "score"])
 
 
+def _scan(shared, most: int):
+    """Rows of (node, vec) in the order of node -> the `most` nearest of each query among them; ties to the smaller node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q = shared.value
+        sims, nodes = np.full((len(names), most), -np.inf), np.zeros((len(names), most), np.int64)
+        for batch in batches:
+            for first in range(0, len(batch), CHUNK):
+                b = batch.slice(first, CHUNK)
+                x = np.frombuffer(b"".join(b.column("vec").to_pylist()), np.float64).reshape(len(b), -1)
+                s = q @ (x / np.sqrt((x * x).sum(1, keepdims=True))).T
+                i, j = np.nonzero(s > sims[:, -1:])
+                if not len(i):
+                    continue
+                rows = np.unique(i)
+                who = np.concatenate((np.repeat(rows, most), i))
+                sim = np.concatenate((sims[rows].ravel(), s[i, j]))
+                node = np.concatenate((nodes[rows].ravel(), b.column("node").to_numpy()[j]))
+                order = np.lexsort((node, -sim, who))
+                who = who[order]
+                best = order[np.arange(len(who)) - np.searchsorted(who, who) < most]
+                sims[rows], nodes[rows] = sim[best].reshape(-1, most), node[best].reshape(-1, most)
+        i, j = np.nonzero(sims > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(nodes[i, j]), pa.array(sims[i, j])], ["query", "node", "sim"])
+
+    return run
+
+
+def exact(index: Index, queries: DataFrame, k: int = 5) -> DataFrame:
+    """As search, by comparing every query with every node: lots of queries go to the executors, each scans its nodes."""
+    spark, scratch = index.nodes.sparkSession, index.scratch
+    asked = _asked(index, queries)
+    vecs = index.nodes.select("node", "vec")
+    walks = scratch.keep(asked.select("node").distinct().join(vecs, "node"), "asked")
+    lots = -(-walks.count() // LOT)
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "node"))
+    found = None
+    for lot in range(lots):
+        q = walks.where(F.pmod(F.xxhash64("node"), F.lit(lots)) == lot).toArrow()
+        if not len(q):
+            continue
+        x = np.frombuffer(b"".join(q.column("vec").to_pylist()), np.float64).reshape(len(q), -1)
+        shared = spark.sparkContext.broadcast((q.column("node").to_numpy(), x / np.sqrt((x * x).sum(1, keepdims=True))))
+        near = map_arrow(vecs.sortWithinPartitions("node"), _scan(shared, 2 * k + 2), "query long, node long, sim double")
+        near = scratch.keep(near.withColumn("nth", best).where(F.col("nth") <= 2 * k + 2).select("query", "node"), "exact")
+        found = near if found is None else found.unionByName(near)
+    if found is None:
+        found = walks.select(F.col("node").alias("query"), "node")
+    return _answers(index, asked, found, k)
+
+
+def nearest(index: Index, queries: DataFrame, k: int = 5) -> DataFrame:
+    """As search, with the walks of AUDIT queries held against exact answers; where they find too few neighbours, all queries are answered exactly."""
+    walked = index.scratch.keep(search(index, queries, k), "walked")
+    some = index.scratch.keep(_asked(index, queries).select("query_id").distinct().orderBy(F.xxhash64("query_id"), "query_id").limit(AUDIT), "audit")
+    right: dict[int, list[float]] = {}
+    for r in exact(index, some, k).collect():
+        right.setdefault(r.query_id, []).append(r.score)
+    hits = 0
+    for r in walked.join(F.broadcast(some), "query_id").collect():
+        hits += r.score >= min(right[r.query_id]) - 1e-15
+    index.recall = hits / max(1, sum(map(len, right.values())))
+    return walked if right and index.recall >= RECALL else exact(index, queries, k)
+
+
+def _asked(index: Index, queries: DataFrame) -> DataFrame:
+    return queries.select("query_id").distinct().join(index.members, F.col("query_id") == F.col("vec_id")).select("query_id", "node").distinct()
+
+
 def search(index: Index, queries: DataFrame, k: int = 5, beam: int = BEAM, width: int = WIDTH, steps: int = STEPS) -> DataFrame:
     """(query_id) of rows of the index -> query_id, rank, vec_id, score of the k nearest other rows.
 
@@ -281,7 +354,7 @@ def search(index: Index, queries: DataFrame, k: int = 5, beam: int = BEAM, width
     are candidates, and the nearest `beam` stay. Walks end when nothing in the beam is unexpanded. Then the beam is scored by the
     cosine of the original vectors in double precision, nodes stand for all rows with their vector, and ties go to the smaller vec_id."""
     scratch, codes = index.scratch, index.nodes.select("node", "code")
-    asked = queries.select("query_id").distinct().join(index.members, F.col("query_id") == F.col("vec_id")).select("query_id", "node").distinct()
+    asked = _asked(index, queries)
     # queries with one vector walk once
     walks = scratch.keep(asked.select(F.col("node").alias("query")).distinct().join(codes.select(F.col("node").alias("query"), F.col("code").alias("q")), "query"), "walks")
     lists = index.graph.select(F.col("u").alias("node"), F.col("v").alias("next"))
@@ -301,6 +374,11 @@ def search(index: Index, queries: DataFrame, k: int = 5, beam: int = BEAM, width
         rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "node"))
         old, state = state, scratch.keep(every.withColumn("nth", rank).where(F.col("nth") <= beam).drop("nth"), "state")
         scratch.drop(old)
+    return _answers(index, asked, state, k)
+
+
+def _answers(index: Index, asked: DataFrame, state: DataFrame, k: int) -> DataFrame:
+    """The k nearest rows of each query among the nodes (query, node)."""
     vecs = index.nodes.select("node", "vec")
     pairs = state.select("query", "node").join(vecs.select(F.col("node"), F.col("vec").alias("y")), "node")
     pairs = pairs.join(vecs.select(F.col("node").alias("query"), F.col("vec").alias("x")), "query").select("query", "node", "x", "y")
@@ -323,4 +401,4 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = build(vectors)
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    return search(index, vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id")))
+    return nearest(index, vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id")))

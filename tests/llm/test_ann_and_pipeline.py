@@ -77,6 +77,29 @@ def test_tight_cluster(spark):
     assert len(want & {(r.query_id, r.vec_id) for r in got}) >= 0.9 * len(want)
 
 
+def test_walks_that_miss_are_answered_exactly(spark, monkeypatch):
+    rnd = np.random.default_rng(7)
+    rows = [(i, rnd.standard_normal(8).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "LOT", 16)
+    index, queries = ann.build(df, degree=2, rounds=0), df.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"))
+    got = {}
+    for r in ann.nearest(index, queries).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    want = exact(rows, range(0, 400, 10))
+    assert index.recall < ann.RECALL
+    assert {q: [i for _, i in sorted(v)] for q, v in got.items()} == {q: [i for _, i in v] for q, v in want.items()}
+
+
+def test_walks_that_find_nothing_are_audited(spark):
+    rnd = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, rnd.standard_normal(8).tolist()) for i in range(100)], "vec_id long, embedding array<double>")
+    index = ann.build(df, rounds=0)
+    index.graph = index.graph.where("u % 20 <> 0")
+    got = ann.nearest(index, df.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"))).collect()
+    assert len(got) == 50
+
+
 @pytest.fixture(scope="module")
 def staged(spark, tmp_path_factory):
     out = {"start": spark.read.parquet(f"{SF}/documents.parquet")}
