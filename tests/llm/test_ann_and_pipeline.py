@@ -77,18 +77,45 @@ def test_tight_cluster(spark):
     assert len(want & {(r.query_id, r.vec_id) for r in got}) >= 0.9 * len(want)
 
 
-def test_walks_that_miss_are_answered_exactly(spark, monkeypatch):
+def test_beams_widen_until_the_audit_passes(spark, monkeypatch):
     rnd = np.random.default_rng(7)
     rows = [(i, rnd.standard_normal(8).tolist()) for i in range(400)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    monkeypatch.setattr(ann, "LOT", 16)
-    index, queries = ann.build(df, degree=2, rounds=0), df.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"))
-    got = {}
-    for r in ann.nearest(index, queries).collect():
-        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
-    want = exact(rows, range(0, 400, 10))
-    assert index.recall < ann.RECALL
-    assert {q: [i for _, i in sorted(v)] for q, v in got.items()} == {q: [i for _, i in v] for q, v in want.items()}
+    for name, value in (("BEAM", 6), ("GROWTH", 0), ("ENTRIES", 1)):
+        monkeypatch.setattr(ann, name, value)
+    index, queries = ann.build(df, degree=4, rounds=0), df.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"))
+    want = {(q, i) for q, v in exact(rows, range(0, 400, 10)).items() for _, i in v}
+    narrow = {(r.query_id, r.vec_id) for r in ann.search(index, queries).collect()}
+    wide = {(r.query_id, r.vec_id) for r in ann.nearest(index, queries).collect()}
+    assert len(narrow & want) < 0.95 * len(want) <= len(wide & want) and index.recall >= ann.RECALL
+    assert {(r.query_id, r.vec_id) for r in ann.exact(index, queries).collect()} == want
+
+
+@pytest.mark.parametrize("partitions", [4, 200])
+def test_one_to_six_vectors(spark, partitions):
+    rnd = np.random.default_rng(9)
+    rows = [(i, rnd.standard_normal(8).tolist()) for i in range(6)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        for n in (1, 2, 6):
+            df = spark.createDataFrame(rows[:n], "vec_id long, embedding array<double>").repartition(n)
+            got = sorted((r.query_id, r.rank, r.vec_id) for r in ann.nearest(ann.build(df), df.select(F.col("vec_id").alias("query_id"))).collect())
+            assert got == [(q, k + 1, i) for q, v in sorted(exact(rows[:n], range(n)).items()) for k, (_, i) in enumerate(v)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_query_on_its_own_table(spark):
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF.replace('0.001', '0.1')}/embeddings.parquet").collect()]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    queries = np.flatnonzero(ids % 50 == 0)
+    sims = unit[queries] @ unit.T
+    sims[np.arange(len(queries)), queries] = -2
+    want = {(ids[q], i) for q, row in zip(queries, np.argsort(-sims, axis=1)[:, :5], strict=True) for i in ids[row]}
+    got = {(r.query_id, r.vec_id) for r in ann.op5_nearest_neighbours(spark, SF.replace("0.001", "0.1")).collect()}
+    assert len(got) == len(want) and len(got & want) >= 0.95 * len(want)
 
 
 def test_walks_that_find_nothing_are_audited(spark):
