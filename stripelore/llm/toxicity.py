@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 import re
 from collections import Counter, defaultdict
@@ -19,14 +20,19 @@ from .common import map_arrow, table
 
 #: Length of the common subsequences and weight of each character that one spans.
 ORDER, DECAY = 4, 0.8
-#: Longer units are cut into windows that begin every STEP characters.
+#: Longer words are cut into windows of so many characters (one for the mark of a beginning) that begin every STEP characters.
 UNIT, STEP = 12, 4
+#: A window across spaces is scored if it has all characters of a landmark of so many letters or more, in their order, and at most so many others.
+LETTERS, INSERTED = 5, 1
 #: Bounds of the sample that a model is fitted on: documents of each label, in the order of a hash of their ids.
 TOXIC_DOCS, CLEAN_DOCS = 500, 1500
-#: Landmarks of each kind at most.
+#: Nyström landmarks drawn from windows of toxic sentences, and from those of clean ones, at most: the size of the model.
 INSULTS, COMMON = 40, 12
+#: Characters of text, and windows, that are worked out at a time.
+LOT, STRIP = 1 << 20, 16384
 
 _RUN = re.compile(r"(?<!\S)(?:\S{1,2}\s+){2,}\S{1,2}(?!\S)")
+_SENTENCE = re.compile(r"[.!?]+\s+|\s*\n\s*")
 _OUTSIDE = re.compile(r"[\W_]+")
 
 
@@ -34,6 +40,10 @@ def windows(letters: str) -> list[str]:
     return [letters[i : i + UNIT] for i in range(0, max(1, len(letters) - UNIT + STEP), STEP)]
 
 
+def sentences(text: str) -> list[str]:
+    return [s for s in _SENTENCE.split(text) if s]
+
+
 def _run(found: str) -> list[str]:
     """A run of short words with repeats in a row struck out, if three different neighbours are left."""
     words = found.split()
@@ -49,9 +59,9 @@ def raw_units(text: str) -> set[str]:
 
 
 def bare(unit: str) -> list[str]:
-    """A unit's letters and digits behind a mark of its beginning, in windows."""
+    """A word's letters and digits behind a mark of its beginning, in windows."""
     letters = _OUTSIDE.sub("", unit)
-    return windows("^" + letters) if len(letters) >= ORDER else []
+    return windows("^" + letters) if len(letters) >= ORDER - 1 else []
 
 
 def _codes(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -62,28 +72,52 @@ def _codes(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
-def _mask(codes: np.ndarray) -> np.ndarray:
-    """A 64-bit set of each row's characters."""
-    bits = np.where(codes > 0, np.uint64(1) << (codes.astype(np.uint64) * np.uint64(0x9E3779B1) >> np.uint64(7) & np.uint64(63)), np.uint64(0))
-    return np.bitwise_or.reduce(bits, axis=1)
+class _Landmarks:
+    """Length of the longest common subsequence of strings with each landmark, all strings at once: a row of bits for each."""
+
+    def __init__(self, landmarks: list[str]):
+        codes, self.size = _codes(landmarks)
+        kind = np.uint16 if codes.shape[1] <= 16 else np.uint64
+        if codes.shape[1] > 64:
+            raise ValueError("landmarks have 64 characters at most")
+        alphabet = np.unique(codes[codes > 0])
+        self.symbol = np.zeros(0x110000, np.uint16)
+        self.symbol[alphabet] = np.arange(1, len(alphabet) + 1)
+        self.bits = np.zeros((len(landmarks), len(alphabet) + 1), kind)
+        for j in range(codes.shape[1]):
+            on = codes[:, j] > 0
+            self.bits[np.flatnonzero(on), self.symbol[codes[on, j]]] |= kind(1 << j)
+        self.mark = self.symbol[ord("^")]
+
+    def common(self, symbols: np.ndarray, more: int | None = None) -> Iterator[np.ndarray]:
+        """For each landmark in turn, the lengths for strings given as columns of symbols, or for so many characters of
+        them as the landmark has and `more`."""
+        ones = np.full(symbols.shape[1], ~self.bits.dtype.type(0))
+        for bits, size in zip(self.bits, self.size.tolist(), strict=True):
+            rest = ones
+            for row in bits.take(symbols if more is None else symbols[: size + more]):
+                met = rest & row
+                rest = (rest + met) | (rest - met)
+            yield np.bitwise_count(~rest)
 
 
 def subsequence_kernel(strings: list[str], landmarks: list[str], order: int = ORDER, decay: float = DECAY) -> np.ndarray:
     """Sum over all common subsequences of `order` characters of decay ** (characters spanned in both), each string by each landmark.
 
-    Only pairs that can share a subsequence are worked out: the others' kernel is 0."""
+    Only pairs that share a subsequence of that length are worked out: the others' kernel is 0."""
     out = np.zeros((len(strings), len(landmarks)), np.float32)
     if not strings or not landmarks:
         return out
     s, s_size = _codes(strings)
-    t, t_size = _codes(landmarks)
-    s_mask = _mask(s)
-    place = [_mask(t[:, j : j + 1]) for j in range(t.shape[1])]
-    # a pair counts if the string has the letters of `order` places of the landmark
-    pairs = np.zeros(out.shape, np.int8)
-    for p in place:
-        pairs += ((s_mask[:, None] & p[None, :]) != 0).astype(np.int8)
-    a, b = np.nonzero(pairs >= order)
+    t, _ = _codes(landmarks)
+    known = _Landmarks(landmarks)
+    first, second = [], []
+    for k in range(0, len(strings), STRIP):
+        for j, common in enumerate(known.common(np.ascontiguousarray(known.symbol[s[k : k + STRIP]].T))):
+            i = np.flatnonzero(common >= order)
+            first.append(i + k)
+            second.append(np.full(len(i), j))
+    a, b = np.concatenate(first), np.concatenate(second)
     by_size = np.argsort(s_size[a], kind="stable")
     a, b = a[by_size], b[by_size]
     for k in range(0, len(a), 8192):
@@ -130,6 +164,71 @@ def normalised_kernel(strings: list[str], landmarks: list[str]) -> np.ndarray:
     return out
 
 
+@functools.cache
+def _kinds() -> np.ndarray:
+    """Of each code point: 1 for letters and digits, 2 for white space, else 0."""
+    out = np.zeros(0x110000, np.uint8)
+    for p in range(0x110000):
+        c = chr(p)
+        out[p] = 2 if c.isspace() else c.isalnum()
+    return out
+
+
+def across(texts: list[str], landmarks: _Landmarks, inserted: int = INSERTED) -> list[set[str]]:
+    """Of each text, the runs of two or more whole words whose letters are those of a landmark, in their order, and at most `inserted`
+    others: what is spelled out, or cut by spaces. Landmarks of few letters are left to words, as short words make them up by chance."""
+    out: list[set[str]] = [set() for _ in texts]
+    low = [t.lower() for t in texts]
+    first = 0
+    while first < len(low):
+        last, size = first + 1, len(low[first])
+        while last < len(low) and size + len(low[last]) <= LOT:
+            size += len(low[last])
+            last += 1
+        own = out[first:last]  # the sets themselves
+        _across(low[first:last], landmarks, inserted, own)
+        first = last
+    return out
+
+
+def _across(low: list[str], landmarks: _Landmarks, inserted: int, out: list[set[str]]) -> None:
+    codes = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _kinds()[codes]
+    at = np.flatnonzero(kind == 1)
+    if not len(at):
+        return
+    text = np.repeat(np.arange(len(low)), [len(t) for t in low])[at]
+    word = np.cumsum(kind == 2)[at]
+    fresh = np.concatenate(([True], (word[1:] != word[:-1]) | (text[1:] != text[:-1])))
+    letters = codes[at]
+    starts = np.flatnonzero(fresh)
+    width = int(landmarks.size.max()) + inserted
+    symbols = np.append(landmarks.symbol[letters], np.zeros(width, np.uint16))
+    final = np.concatenate((fresh[1:], [True], np.zeros(width, bool)))  # the letter that ends a word
+    owner = np.append(text, np.full(width, -1))
+    # of words that are as long as a landmark the windows are the words' own
+    longest = np.append(starts[1:], len(letters)) - starts < width
+    starts = starts[longest]
+    for k in range(0, len(starts), STRIP):
+        some = starts[k : k + STRIP]
+        columns, ends = np.empty((width, len(some)), np.uint16), np.zeros((width, len(some)), bool)
+        columns[0] = landmarks.mark
+        words = np.zeros(len(some), np.int8)
+        for j in range(width - 1):
+            here = owner[some + j] == text[some]
+            columns[j + 1] = np.where(here, symbols[some + j], 0)
+            ends[j + 1] = final[some + j] & here & (words > 0)
+            words += final[some + j]
+        for size, common in zip(landmarks.size.tolist(), landmarks.common(columns, inserted), strict=True):
+            if size <= LETTERS:
+                continue
+            good = common == size
+            for n in range(size, size + inserted + 1):
+                for i in np.flatnonzero(good & ends[n - 1]).tolist():
+                    a = int(some[i])
+                    out[text[a]].add("^" + letters[a : a + n - 1].tobytes().decode("utf-32-le", "surrogatepass"))
+
+
 @dataclass
 class ToxicityModel:
     """Weights of landmarks (the machine's weights behind the Nyström projection), its bias, and the scale of scores."""
@@ -137,29 +236,36 @@ class ToxicityModel:
     landmarks: list[str] = field(default_factory=list)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     bias: float = -1.0
+    #: how many of the landmarks, the first, are from toxic sentences
+    insults: int = 0
     slope: float = 4.0
     offset: float = 0.0
     remembered: int = 400_000
     known: dict[str, float] = field(default_factory=dict, repr=False)
+    aligned: _Landmarks | None = field(default=None, repr=False)
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}}
+        return self.__dict__ | {"known": {}, "aligned": None}
+
+    def values(self, strings: list[str]) -> np.ndarray:
+        """The machine's value of each window."""
+        if not self.landmarks or not strings:
+            return np.full(len(strings), self.bias)
+        return normalised_kernel(strings, self.landmarks) @ self.weights + self.bias
 
     def margins(self, units: list[str]) -> np.ndarray:
-        """The machine's value of each unit, the largest of its windows."""
+        """The machine's value of each word, the largest of its windows."""
         flat, owner = [], []
         for i, u in enumerate(units):
             for w in bare(u):
                 flat.append(w)
                 owner.append(i)
         out = np.full(len(units), self.bias, np.float64)
-        if flat:
-            value = normalised_kernel(flat, self.landmarks) @ self.weights + self.bias if self.landmarks else np.full(len(flat), self.bias)
-            np.maximum.at(out, owner, value)
+        np.maximum.at(out, owner, self.values(flat))
         return out
 
     def learn(self, units: set[str]) -> None:
-        """Values of units that are not known yet; `remembered` bounds how many are kept."""
+        """Values of words that are not known yet; `remembered` bounds how many are kept."""
         new = units.difference(self.known)
         if new and len(self.known) > self.remembered:
             self.known.clear()
@@ -168,11 +274,19 @@ class ToxicityModel:
         self.known.update(zip(new, self.margins(new).tolist(), strict=True))
 
     def document_margins(self, texts: list[str]) -> np.ndarray:
-        """Of each text: the largest of its units, since a sentence is as toxic as its most toxic part, and so is a text."""
+        """Of each text: the largest of its words and of its windows across spaces, since a sentence is as toxic as its most
+        toxic part, and so is a text."""
         units = [raw_units(t) for t in texts]
         self.learn(set().union(*units))
         known = self.known.__getitem__
-        return np.array([max(map(known, u), default=self.bias) for u in units], np.float64)
+        out = np.array([max(map(known, u), default=self.bias) for u in units], np.float64)
+        if self.insults:
+            self.aligned = self.aligned or _Landmarks(self.landmarks[: self.insults])
+            runs = across(texts, self.aligned)
+            every = sorted(set().union(*runs))
+            value = dict(zip(every, self.values(every).tolist(), strict=True))
+            out = np.maximum(out, [max(map(value.__getitem__, r), default=self.bias) for r in runs])
+        return out
 
     def margin(self, text: str) -> float:
         return float(self.document_margins([text])[0])
@@ -191,7 +305,8 @@ def _full(part: str) -> float:
 
 
 def insult_stems(toxic: list[set[str]], clean: list[set[str]], most: int = INSULTS) -> list[str]:
-    """Strings of 4 to 9 characters inside words that toxic documents have and clean ones (almost) never do.
+    """Strings of 4 to 9 characters inside windows that toxic documents have and clean ones (almost) never do: what the landmarks of toxic
+    sentences are drawn from, and which of their windows are taken for toxic at first.
 
     Greedy: takes the string found in most toxic documents (of near equals the longest), strikes out the words that
     contain it, and goes on while so many documents could not have it by chance. Then the same among the documents
@@ -251,15 +366,15 @@ def insult_stems(toxic: list[set[str]], clean: list[set[str]], most: int = INSUL
     return found
 
 
-def _without_copies(docs: list[set[str]]) -> list[set[str]]:
-    """One document of those whose long units have the same least hash under one of two functions: near copies do."""
+def _without_copies(docs: list[set[str]]) -> list[int]:
+    """Places of one document of those whose long units have the same least hash under one of two functions: near copies do."""
     seen: set[tuple[int, int]] = set()
     out = []
-    for doc in docs:
+    for i, doc in enumerate(docs):
         long_ = [w.encode() for w in doc if len(w) >= 10]
         keys = {(s, min(xxhash.xxh3_64_intdigest(w, s) for w in long_)) for s in (1, 2)} if long_ else set()
         if not keys & seen:
-            out.append(doc)
+            out.append(i)
         seen |= keys
     return out
 
@@ -281,49 +396,59 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.
     return w
 
 
-def fit(toxic: list[set[str]], clean: list[set[str]]) -> ToxicityModel:
-    """A model from the units of labelled documents. A document's label holds for its sentences only in part: a clean one has
-    clean sentences alone, a toxic one at least one toxic part. So the machine is trained on parts: those of clean
-    documents against the ones of toxic documents that hold insult stems, then, twice, with each toxic document's worst part."""
-    toxic = _without_copies([{w for u in doc for w in bare(u)} for doc in toxic])
-    clean = _without_copies([{w for u in doc for w in bare(u)} for doc in clean])
-    stems = insult_stems(toxic, clean) if toxic and clean else []
-    if not stems:
+def fit(toxic: list[list[str]], clean: list[list[str]]) -> ToxicityModel:
+    """A model from labelled sentences, those of a document in a list. A clean document has clean sentences alone; of a toxic one at least
+    one sentence, and of that at least one window, is toxic, and which is found in rounds (multiple-instance learning): the
+    machine is trained on all windows of clean sentences against those of toxic sentences that hold insult stems, and in each
+    round each toxic document adds the worst window of its worst sentence."""
+
+    def parts(docs: list[list[str]]) -> tuple[list[list[str]], list[set[str]]]:
+        sets = [{w for s in doc for u in raw_units(s) for w in bare(u)} for doc in docs]
+        stay = _without_copies(sets)
+        return [docs[i] for i in stay], [sets[i] for i in stay]
+
+    (toxic, t_parts), (clean, c_parts) = parts(toxic), parts(clean)
+    insults = insult_stems(t_parts, c_parts) if toxic and clean else []
+    if not insults:
         return ToxicityModel()
     # a third of the clean documents is kept from the machine, so that the scale of scores is not set by what it has learned
-    fitted, apart = clean[: (2 * len(clean) + 2) // 3], clean[(2 * len(clean) + 2) // 3 :]
-    clean_words = Counter(w for doc in fitted for w in doc)
-    ordered = [w for w, _ in sorted(clean_words.items(), key=lambda x: (-x[1], x[0]))]
-    close = normalised_kernel(ordered, stems)
-    hard = [ordered[i] for i in np.argsort(-close.max(1), kind="stable")[:6000]]
-    landmarks = list(dict.fromkeys([*stems, *hard[: COMMON // 2], *ordered[: COMMON // 2]]))
+    cut = (2 * len(clean) + 2) // 3
+    counts = Counter(w for doc in c_parts[:cut] for w in doc)
+    often = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
+    close = normalised_kernel(often, insults).max(1)
+    landmarks = list(dict.fromkeys([*insults, *[often[i] for i in np.argsort(-close, kind="stable")[: COMMON // 2]], *often[: COMMON // 2]]))
+    aligned = _Landmarks(insults)
+    for docs, sets in ((toxic, t_parts), (clean, c_parts)):
+        for own, runs in zip(sets, across(["\n".join(d) for d in docs], aligned), strict=True):
+            own |= runs
+    clean_parts = Counter(w for doc in c_parts[:cut] for w in doc)
+    negative = sorted(clean_parts)
+    often = np.array([clean_parts[u] for u in negative], np.float64)
     gram = normalised_kernel(landmarks, landmarks).astype(np.float64)
     value, vector = np.linalg.eigh((gram + gram.T) / 2 + 1e-3 * np.eye(len(gram)))
     project = vector / np.sqrt(np.maximum(value, 1e-3))
-    negative = list(dict.fromkeys([*hard, *ordered[:6000]]))
-    joined = re.compile("|".join(map(re.escape, stems)))
-    positive = {w for doc in toxic for w in doc if joined.search(w) and w not in clean_words}
-    every = sorted(set().union(*toxic, *clean))
+    every = sorted(set().union(*t_parts, *c_parts))
     at = {u: i for i, u in enumerate(every)}
     kernel = normalised_kernel(every, landmarks)
-    model, value = ToxicityModel(landmarks), {}
+    x = kernel @ project
+    rows = [at[u] for u in negative]
+    joined = re.compile("|".join(map(re.escape, insults)))
+    positive = {w for doc in t_parts for w in doc if joined.search(w) and w not in clean_parts}
     for _ in range(3):
         pos = sorted(positive)
-        x = kernel[[at[u] for u in pos + negative]] @ project
         y = np.array([1.0] * len(pos) + [-1.0] * len(negative))
-        # a clean part weighs by the documents that it is in, and both sides weigh the same
-        often = np.array([1.0] * len(pos) + [clean_words[u] for u in negative], np.float64)
-        w = _machine(x, y, np.where(y > 0, 0.5 / max(1, len(pos)), 0.5 * often / often[len(pos) :].sum()) * len(y))
-        model = ToxicityModel(landmarks, (project @ w[:-1]).astype(np.float32), float(w[-1]))
+        # a clean window weighs by the documents that it is in, and both sides weigh the same
+        weight = np.concatenate((np.full(len(pos), 0.5 / max(1, len(pos))), 0.5 * often / often.sum())) * len(y)
+        w = _machine(x[[at[u] for u in pos] + rows], y, weight)
+        model = ToxicityModel(landmarks, (project @ w[:-1]).astype(np.float32), float(w[-1]), insults=len(insults))
         value = dict(zip(every, (kernel @ model.weights + model.bias).tolist(), strict=True))
-        for doc in toxic:
+        for doc in t_parts:
             best = max(doc, default=None, key=lambda u: (value[u], u))
-            if best is not None and best not in clean_words and value[best] > 0:
+            if best is not None and best not in clean_parts and value[best] > 0:
                 positive.add(best)
-    apart = apart or fitted
-    m = np.array([max((value[u] for u in doc), default=model.bias) for doc in [*toxic, *apart]])
-    y = np.array([1.0] * len(toxic) + [0.0] * len(apart))
-    model.slope, model.offset = _platt(m, y)
+    apart = c_parts[cut:] or c_parts
+    m = np.array([max((value[u] for u in doc), default=model.bias) for doc in [*t_parts, *apart]])
+    model.slope, model.offset = _platt(m, np.array([1.0] * len(toxic) + [0.0] * len(apart)))
     return model
 
 
@@ -338,7 +463,8 @@ def _platt(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
         g = x.T @ (weight * (p - y)) + 0.5 * (w - [4.0, 0.0])
         h = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(2)
         w = w - np.linalg.solve(h, g) * 0.8
-    return float(max(w[0], 0.1)), float(w[1])
+    slope = float(max(w[0], 0.1))
+    return slope, max(float(w[1]), -0.8 * slope)  # what stands at the machine's margin, 1, is toxic
 
 
 def held_out(doc_id: Column) -> Column:
@@ -348,24 +474,25 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clean_docs: int = CLEAN_DOCS) -> ToxicityModel:
     """Fits a model on a sample of labelled documents that are not held out: at most toxic_docs and clean_docs of
-    them, in the order of a hash of their ids. Only their distinct words reach the driver. Rows without id, text or label take no part;
+    them, in the order of a hash of their ids. Only their sentences reach the driver. Rows without id, text or label take no part;
     without documents of both labels the model calls nothing toxic."""
     ids = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     ids = ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id"), F.col("doc_id")
     sample = ids.where("toxic = 1").orderBy(*order).limit(toxic_docs).unionByName(ids.where("toxic = 0").orderBy(*order).limit(clean_docs))
     sample = sample.select(F.col("doc_id").alias("__id"), "toxic")
-    some = docs.where("text is not null").join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select("doc_id", "toxic", F.col("text").cast("string").alias("text"))
+    some = docs.where("text is not null").select(F.col("doc_id").alias("__doc"), F.col("text").cast("string").alias("text"))
+    some = some.join(F.broadcast(sample), F.col("__doc") == F.col("__id")).select("toxic", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units = [sorted(raw_units(t.as_py())) for t in batch.column("text")]
+            units = [sentences(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int32()), pa.array(units, pa.list_(pa.string()))], ["toxic", "units"])
 
     rows = map_arrow(some, run, "toxic int, units array<string>").toArrow()
-    groups: tuple[list[set[str]], list[set[str]]] = ([], [])
+    groups: tuple[list[list[str]], list[list[str]]] = ([], [])
     for label, units in sorted(zip(rows.column("toxic").to_pylist(), rows.column("units").to_pylist(), strict=True)):
-        groups[label].append(set(units))
+        groups[label].append(units)
     return fit(groups[1], groups[0])
 
 
@@ -380,8 +507,9 @@ def _kept(model: ToxicityModel) -> ToxicityModel:
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """The rows of docs, all columns, with score (0 to 1) and predicted (1 if score >= 0.5). Whole texts are scored, word by
-    word; null and empty texts get the score of a text without words. Nothing but text is an input."""
+    """The rows of docs, all columns, with score (0 to 1) and predicted (1 if score >= 0.5). Whole texts are scored, of any length, word by
+    word and by windows across spaces; null and empty texts get the score of a text without words. Nothing but text is an input, so equal
+    texts have equal scores; one row for each row, an empty table stays empty, and columns named score or predicted are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rest = [c for c in docs.columns if c not in ("score", "predicted")]
     row = F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row")
