@@ -22,8 +22,12 @@ BANDS, ROWS = 25, 5
 SAMPLES, SKETCH = 1024, 4096
 #: A candidate goes on to the full sets if its sketches put it at the threshold less this, more than four standard errors.
 SLACK = 0.055
-#: Buckets of up to so many sets are compared by a join, larger ones in blocks of so many.
-SMALL, BLOCK = 32, 256
+#: Sets of up to so many shingles on average are compared without regard to their sketches, which tell little of so few.
+TINY = 64
+#: Sets whose samples are held at a time.
+LOT = 256
+#: Buckets of up to so many sets are compared by a join, larger ones in blocks of so many sets with so many shingles in all.
+SMALL, BLOCK, WEIGHT = 32, 1024, 2 << 20
 
 
 def _family(samples: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,19 +68,20 @@ def _features(k: int, bands: int, rows: int):
             full = np.flatnonzero(sizes)
             keys: list = [None] * len(sets)
             sketches: list = [None] * len(sets)
-            if len(full):
-                starts = np.concatenate(([0], np.cumsum(sizes[full])[:-1]))
-                all_ = np.concatenate([sets[i] for i in full])
-                low = (all_ >> np.uint64(32)).astype(np.uint32)
-                least = np.empty((len(full), SAMPLES), np.uint32)
+            for lot in np.split(full, range(LOT, len(full), LOT)):
+                if not len(lot):
+                    continue
+                starts = np.concatenate(([0], np.cumsum(sizes[lot])[:-1]))
+                low = (np.concatenate([sets[i] for i in lot]) >> np.uint64(32)).astype(np.uint32)
+                least = np.empty((len(lot), SAMPLES), np.uint32)
                 for j in range(SAMPLES):
                     least[:, j] = np.minimum.reduceat((low ^ xor[j]) * times[j], starts)
-                key = np.zeros((len(full), bands), np.uint64)
+                key = np.zeros((len(lot), bands), np.uint64)
                 for j in range(rows):
                     key = mix64(key * np.uint64(31) + least[:, j : bands * rows : rows].astype(np.uint64) + np.uint64(1))
                 key = mix64(key + np.arange(bands, dtype=np.uint64)).view(np.int64)
                 odd = odd_sketch(least)
-                for n, i in enumerate(full):
+                for n, i in enumerate(lot):
                     keys[i], sketches[i] = key[n], odd[n]
             sig = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -104,18 +109,18 @@ def _apart(bits: int) -> Column:
 
 
 def _confirm(pairs: DataFrame, heads: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) whose sketches agree enough and whose full sets have the similarity."""
-    sketch = heads.select("node", "sketch")
-    near = pairs.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a")
-    near = near.join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-    near = near.where(_apart(SKETCH) <= most_differing(percent / 100 - SLACK)).select("a", "b").distinct()
+    """The pairs (a, b) whose sizes and sketches agree enough and whose full sets have the similarity."""
+    sketch = heads.select("node", "n", "sketch")
+    near = pairs.join(sketch.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a")), "a")
+    near = near.join(sketch.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b")), "b")
+    near = near.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * F.lit(percent))
+    alike = _apart(SKETCH) <= most_differing(percent / 100 - SLACK)
+    near = near.where((F.col("n_a") + F.col("n_b") <= 2 * TINY) | alike).select("a", "b").distinct()
     near = scratch.keep(near, "near")
     nodes = scratch.keep(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-    n = nodes.count()
-    if not n:
+    if not nodes.count():
         return near
-    texts = join_small(docs.select("doc_id", "text"), nodes, F.col("doc_id") == F.col("node"), "inner", n, 16)
-    sets = scratch.keep(map_arrow(texts.select("node", "text"), _sets(k), "node long, shingles array<long>"), "sets")
+    sets = _sets_of(nodes, docs, k, scratch)
     both = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
     shared = F.size(F.array_intersect("s", "t")).cast("long")
@@ -125,31 +130,135 @@ def _confirm(pairs: DataFrame, heads: DataFrame, docs: DataFrame, k: int, percen
     return links
 
 
-def _blocks(most: int):
-    """Pairs across components whose sketches agree enough, within two blocks of a large bucket; each only in the first
-    of the bands that it shares."""
-
-    def run(pdf):
-        key, a, b = pdf.key.iloc[0], pdf[pdf.side == 0], pdf[pdf.side == 1]
-        if b.empty:  # a block with itself
-            b = a
-        x, y = (np.stack(s.to_list()).astype(np.int64).view(np.uint64) for s in (a.sketch, b.sketch))
-        apart = np.zeros((len(x), len(y)), np.int32)
+def _sets_of(nodes: DataFrame, docs: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """(node, shingles) of nodes."""
+    texts = join_small(docs.select("doc_id", "text"), nodes, F.col("doc_id") == F.col("node"), "inner", nodes.count(), 16)
+    return scratch.keep(map_arrow(texts.select("node", "text"), _sets(k), "node long, shingles array<long>"), "sets")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A column of lists of one length as rows."""
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
+class _Union:
+    """Union-find over the numbers below n."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def roots(self) -> np.ndarray:
+        return np.array([self.root(x) for x in range(len(self.up))])
+
+
+def forest(sets: list[np.ndarray], component: np.ndarray, candidates: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (i, j) between sets, of candidates (i, j, ascending in i), that join what `component` and the links before leave
+    apart: together they connect all that the links among the candidates connect, with fewer links than there are sets."""
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    sizes = np.array([len(s) for s in sets])
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    here, union, found = np.zeros(len(values), bool), _Union(len(sets)), []
+    _, first, of = np.unique(component, return_index=True, return_inverse=True)
+    union.up = first[of].tolist()
+    cuts = np.flatnonzero(np.concatenate(([True], candidates[1:, 0] != candidates[:-1, 0]))).tolist() if len(candidates) else []
+    for a, b in zip(cuts, [*cuts[1:], len(candidates)], strict=True):
+        i, partners = int(candidates[a, 0]), candidates[a:b, 1]
+        roots = union.roots()
+        partners = partners[roots[partners] != roots[i]]
+        # a few partners at a time, so that those that a link has joined meanwhile are left out
+        for c in range(0, len(partners), 64):
+            js = [j for j in partners[c : c + 64].tolist() if union.root(j) != union.root(i)]
+            if not js:
+                continue
+            mine = place[starts[i] : starts[i + 1]]
+            here[mine] = True
+            flat = here[np.concatenate([place[starts[j] : starts[j + 1]] for j in js])]
+            shared = np.add.reduceat(flat, np.concatenate(([0], np.cumsum(sizes[js])[:-1])), dtype=np.int64)
+            here[mine] = False
+            for j, n in zip(js, shared.tolist(), strict=True):
+                if n * 100 >= percent * (sizes[i] + sizes[j] - n) and (x := union.root(i)) != (y := union.root(j)):
+                    union.up[y] = x
+                    found.append((i, j))
+    return found
+
+
+def _cells(most: int, percent: int):
+    """Links between the members of two blocks of a large bucket, confirmed on the full sets; no more than the members need to be
+    connected. A pair is compared in the first of the bands that it shares."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        column = {c: rows.column(c).chunk(0) for c in rows.column_names}
+        bucket, side = key[0].as_py(), column["side"].to_numpy()
+        order = np.argsort(side, kind="stable")
+        left = int((side == 0).sum())
+        node, component, n = (column[c].to_numpy()[order] for c in ("node", "component", "n"))
+        sketch, bands = _matrix(column["sketch"]).view(np.uint64)[order], _matrix(column["bands"])[order]
+        flat, cuts = column["shingles"].flatten().to_numpy(), column["shingles"].offsets.to_numpy()
+        cuts = cuts - cuts[0]
+        sets = [flat[cuts[r] : cuts[r + 1]] for r in order.tolist()]
+        first = 0 if key[2].as_py() == -1 else left  # here the outside block also meets itself
+        x, y = sketch[:left], sketch[first:]
+        apart = np.zeros((len(x), len(y)), np.uint16)
         for w in range(x.shape[1]):
-            apart += np.bitwise_count(x[:, w, None] ^ y[None, :, w]).astype(np.int32)
-        i, j = np.nonzero((apart <= most) & (a.component.to_numpy()[:, None] != b.component.to_numpy()[None, :]))
-        bands = np.stack(a.bands.to_list())[i]
-        first = np.argmax(bands == np.stack(b.bands.to_list())[j], axis=1)
-        here = bands[np.arange(len(i)), first] == key
-        p, q = a.node.to_numpy()[i[here]], b.node.to_numpy()[j[here]]
-        return type(pdf)({"a": np.minimum(p, q), "b": np.maximum(p, q)}).drop_duplicates()
+            apart += np.bitwise_count(x[:, w, None] ^ y[None, :, w])
+        p, q = n[:left, None], n[None, first:]
+        near = (apart <= most) | (p + q <= 2 * TINY)
+        near &= np.minimum(p, q) * 100 >= np.maximum(p, q) * percent
+        near &= component[:left, None] != component[None, first:]
+        i, j = np.nonzero(near)
+        j += first
+        i, j = i[i < j], j[i < j]
+        same = bands[i] == bands[j]
+        here = bands[i, same.argmax(axis=1)] == bucket
+        links = forest(sets, component, np.stack((i[here], j[here]), axis=1), percent) if here.any() else []
+        a, b = node[[i for i, _ in links]], node[[j for _, j in links]]
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
     return run
 
 
+def _within(many: DataFrame, heads: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links that connect what links connect within large buckets. In a bucket, the members outside its main component are
+    compared with all others: they meet each block of the main component and each other's blocks, while the main
+    component's members, of whom most have nothing to be compared with but these, are not compared with each other."""
+    ship_package(docs.sparkSession)
+    sizes = many.groupBy("key", "component").agg(F.count("*").alias("own"))
+    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("own", "component")).alias("main"))
+    many = many.join(main, "key").withColumn("out", F.col("component") != F.col("main"))
+
+    def blocks(of: Column) -> Column:
+        return F.ceil(F.greatest(F.sum(of.cast("long")) / BLOCK, F.sum(F.when(of, F.col("n"))) / WEIGHT)).cast("int")
+
+    cut = many.groupBy("key").agg(blocks(F.col("out")).alias("n_out"), blocks(~F.col("out")).alias("n_main"))
+    many = many.join(cut, "key")
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("out"), F.col("n_out")).otherwise(F.col("n_main"))).cast("int")
+    # cell (i, j): outside block i with outside block j, or, where j is negative, with block -1 - j of the main component; with -1, also with itself
+    others = F.sequence(F.lit(0), F.col("n_out") - 1)
+    outside = F.concat(
+        F.transform(F.filter(others, lambda o: o != F.col("own")), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j"), F.when(F.col("own") <= o, 0).otherwise(1).alias("side"))),
+        F.transform(F.sequence(F.lit(0), F.col("n_main") - 1), lambda x: F.struct(F.col("own").alias("i"), (-1 - x).alias("j"), F.lit(0).alias("side"))),
+    )
+    inside = F.transform(others, lambda o: F.struct(o.alias("i"), (-1 - F.col("own")).alias("j"), F.lit(1).alias("side")))
+    cells = many.withColumn("own", own).select("key", "node", "component", F.explode(F.when(F.col("out"), outside).otherwise(inside)).alias("cell"))
+    sets = _sets_of(scratch.keep(many.select("node").distinct(), "nodes"), docs, k, scratch)
+    facts = scratch.keep(heads.select("node", "n", "sketch", "bands").join(sets, "node"), "facts")
+    cells = cells.select("key", "node", "component", "cell.*").join(facts, "node")
+    links = cells.groupBy("key", "i", "j").applyInArrow(_cells(most_differing(percent / 100 - SLACK), percent), "a long, b long")
+    links = scratch.keep(links.distinct(), "links")
+    scratch.drop(sets, facts)
+    return links
+
+
 def _apart_in_buckets(shared: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, node, m, component) of the buckets of three or more whose members are in more than one component."""
-    own = shared.where("m > 2").join(found, "node", "left").select("key", "node", "m", F.coalesce("component", "node").alias("component"))
+    """(key, node, n, m, component) of the buckets of three or more whose members are in more than one component."""
+    own = shared.where("m > 2").join(found, "node", "left").select("key", "node", "n", "m", F.coalesce("component", "node").alias("component"))
     own = scratch.keep(own, "members")
     open_ = own.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
     out = scratch.keep(own.join(open_, "key"), "open")
@@ -180,11 +289,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     that links reach. Equal sets are one node from the start, so copies never meet in pairs. Each bucket of a band
     compares its members with its smallest one, large buckets then also what stands outside a component with a few of its
     members, as long as that merges components; what is still in more than one component is compared across the
-    components, by a join in small buckets and in blocks of sketches in large ones. So every pair that shares a band
-    is either in one component already or compared; the chance to share none is the only one to miss a link.
+    components, by a join in small buckets and in pairs of blocks in large ones. A pair of blocks confirms its links by itself, on
+    the full sets, and returns no more of them than its members need to be connected. So every pair that shares a band is either in
+    one component already or compared; to share none, or sketches more than SLACK off, are the only chances to miss a link.
 
     Defined results: null, empty and blank texts have no shingles, are linked with nothing and kept; a row without doc_id takes part in
-    nothing, has a null component_id and is kept; rows with one doc_id are one document, whose sets are all compared.
+    nothing, has a null component_id and is kept; rows with one doc_id are one document, whose sets are all compared. Texts of any
+    length are taken whole, one at a time if they are long. Columns but doc_id and text play no part; an empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
@@ -193,10 +304,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         map_arrow(docs, _features(k, bands, rows), "doc_id long, n_shingles long, sig binary, bands array<long>, sketch array<long>"), "features"
     )
     real = features.where("doc_id is not null and n_shingles > 0")
-    classes = real.groupBy("sig").agg(F.min("doc_id").alias("node"))
-    heads = real.join(classes, (real.sig == classes.sig) & (real.doc_id == classes.node)).select("node", "bands", "sketch")
-    heads = scratch.keep(heads, "heads")
-    members = heads.select("node", F.explode("bands").alias("key"))
+    # equal sets are one node: each task sends on one row of them at most
+    heads = real.groupBy("sig").agg(F.min_by(F.struct(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bands", "sketch"), "doc_id").alias("x"))
+    heads = scratch.keep(heads.select("sig", "x.*"), "heads")
+    members = heads.select("node", "n", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("m")).where("pivot < last")
     shared = scratch.keep(members.join(buckets.select("key", "pivot", "m"), "key"), "buckets")
     links = _confirm(shared.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), heads, docs, k, percent, scratch)
@@ -217,20 +328,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     few = own.where(F.col("m") <= SMALL)
     other = few.select("key", F.col("node").alias("b"), F.col("component").alias("c"))
     pairs = few.join(other, "key").where("node < b and component <> c").select(F.col("node").alias("a"), "b")
-    many = own.where(F.col("m") > SMALL)
-    if not many.isEmpty():
-        ship_package(spark)
-        n_blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-        many = many.withColumn("n", n_blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-        many = many.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        many = many.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side"), "node", "component")
-        many = many.join(heads.select("node", "sketch", "bands"), "node").groupBy("key", "i", "j")
-        pairs = pairs.unionByName(many.applyInPandas(_blocks(most_differing(percent / 100 - SLACK)), "a long, b long"))
     more = _confirm(pairs.distinct(), heads, docs, k, percent, scratch)
     if not more.isEmpty():
-        found = components(links.unionByName(more), scratch)
+        links = links.unionByName(more)
+        found = components(links, scratch)
+        own = _apart_in_buckets(shared, found, scratch)
+    many = own.where(F.col("m") > SMALL)
+    if not many.isEmpty():
+        more = _within(many, heads, docs, k, percent, scratch)
+        if not more.isEmpty():
+            found = components(links.unionByName(more), scratch)
 
-    named = classes.join(found, "node", "left").select("sig", F.coalesce("component", "node").alias("component"))
+    named = heads.select("sig", "node").join(found, "node", "left").select("sig", F.coalesce("component", "node").alias("component"))
     out = features.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("sig")).alias("sig"))
     out = out.join(named, "sig", "left")
     component = F.coalesce("component", "doc_id")
@@ -239,12 +348,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, all columns, that near_duplicates keeps; of rows with one doc_id, any one stays, of
+    """The rows of docs, all columns, that near_duplicates keeps; of rows with one doc_id, the one whose text has the least hash, of
     rows without doc_id all."""
     result = near_duplicates(docs, k, percent)
     kept = result.where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    stay = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.where("doc_id is null"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    order = F.struct(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")), F.col("text").isNull(), F.to_json(F.struct(*names)))
+    stay = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
+    stay = stay.groupBy("doc_id").agg(F.count("*").alias("__n"), F.min_by(F.struct(*names), order).alias("__row"))
+    return stay.select(*[F.col(f"__row.`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id is null"))
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
