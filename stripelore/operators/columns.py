@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from datetime import UTC, datetime, timedelta
 from decimal import Decimal
+from zoneinfo import ZoneInfo
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from .. import rle
-from ..errors import ColumnLengthNotEqual, InvalidStreamKind, MalformedDictionary, MalformedPresentOrData, TypeNotSupported
+from ..codecs import Codec
+from ..errors import ColumnLengthNotEqual, InvalidStreamKind, MalformedDictionary, MalformedPresentOrData, MalformedUnion, TypeNotSupported
 from ..shipping import ship_package
 from ..sources import register
+from ..sources.files import packed_codecs
 from ..tail import FileTail, open_source
 from ..wire import TYPES
 
-#: Seconds from 1970 to 2015, from which timestamps are counted.
+#: Seconds from 1970 to 2015 in UTC; timestamps are counted from 2015 on in their writer's time zone.
 EPOCH = 1420070400
 
 
@@ -28,16 +33,29 @@ def present(tail: FileTail, stripe: int, column: int, rows: int) -> np.ndarray |
         return None
 
 
-def timestamp_nanos(seconds: np.ndarray, coded: np.ndarray) -> np.ndarray:
-    """Nanoseconds since 1970 UTC. The low three bits of coded nanoseconds say, if not 0, one less than how many zeros were cut off."""
+def timestamp_nanos(seconds: np.ndarray, coded: np.ndarray, zone: str = "UTC") -> np.ndarray:
+    """Nanoseconds since 1970 of what the writer's clock in its zone showed. The low three bits of coded nanoseconds say, if not 0, one less
+    than how many zeros were cut off."""
     zeros, nanos = coded & 7, coded >> 3
     nanos = np.where(zeros > 0, nanos * 10 ** np.where(zeros > 0, zeros + 1, 0), nanos)
     whole = seconds + EPOCH
+    if zone not in ("", "UTC", "GMT", "Etc/UTC"):
+        whole = whole - _offsets(np.array([EPOCH]), zone)[0]  # 2015 began so much later or earlier there
     # before 1970 the writer rounds seconds towards zero, so that a fraction belongs to the second before
     whole = np.where((whole < 0) & (nanos > 999_999), whole - 1, whole)
+    if zone not in ("", "UTC", "GMT", "Etc/UTC"):
+        whole = whole + _offsets(whole, zone)
     return whole * 1_000_000_000 + nanos
 
 
+def _offsets(seconds: np.ndarray, zone: str) -> np.ndarray:
+    """A zone's seconds ahead of UTC at each time, looked up once for each quarter of an hour that comes up."""
+    quarters, place = np.unique(seconds // 900, return_inverse=True)
+    tz, start = ZoneInfo(zone), datetime(1970, 1, 1, tzinfo=UTC)
+    ahead = [(start + timedelta(seconds=int(q) * 900)).astimezone(tz).utcoffset().total_seconds() for q in quarters.tolist()]
+    return np.array(ahead, np.int64)[place]
+
+
 def _strings(tail: FileTail, i: int, c: int, n: int, encoding: str, kind: pa.DataType) -> pa.Array:
     def lengths(stream_rows: int | None) -> np.ndarray:
         return rle.decode_integers(tail.stream(i, c, "LENGTH"), encoding, False, stream_rows)
@@ -98,23 +116,69 @@ def _values(tail: FileTail, i: int, c: int, n: int) -> pa.Array:
     if kind in ("TIMESTAMP", "TIMESTAMP_INSTANT"):
         if not n:
             return pa.array([], pa.int64())
-        return pa.array(timestamp_nanos(rle.decode_integers(data(), encoding, True, n), rle.decode_integers(tail.stream(i, c, "SECONDARY"), encoding, False, n)))
-    raise TypeNotSupported(f"{kind} is not a flat column")
+        zone = "UTC" if kind == "TIMESTAMP_INSTANT" else tail.stripe_footer(i).get("timezone", "UTC")
+        return pa.array(timestamp_nanos(rle.decode_integers(data(), encoding, True, n), rle.decode_integers(tail.stream(i, c, "SECONDARY"), encoding, False, n), zone))
+    if kind == "STRUCT":
+        children = [_column(tail, i, s, n) for s in t["subtypes"]]
+        return pa.StructArray.from_arrays(children, list(t["names"]))
+    if kind in ("LIST", "MAP"):
+        sizes = rle.decode_integers(tail.stream(i, c, "LENGTH"), encoding, False, n) if n else np.zeros(0, np.int64)
+        offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+        children = [_column(tail, i, s, int(sizes.sum())) for s in t["subtypes"]]
+        return pa.ListArray.from_arrays(offsets, *children) if kind == "LIST" else pa.MapArray.from_arrays(offsets, *children)
+    if kind == "UNION":
+        tags = rle.decode_bytes(data(), n)
+        if len(tags) and tags.max() >= len(t["subtypes"]):
+            raise MalformedUnion("a tag that no variant of the union has")
+        fields = []
+        for k, s in enumerate(t["subtypes"]):
+            mine = tags == k
+            child = _column(tail, i, s, int(mine.sum()))
+            fields.append(_spread(child, mine))
+        return pa.StructArray.from_arrays([pa.array(tags.view(np.int8)), *fields], ["tag", *[f"field{k}" for k in range(len(fields))]])
+    raise TypeNotSupported(f"{kind} is not read")
+
+
+def _spread(values: pa.Array, there: np.ndarray) -> pa.Array:
+    """Values in the places where they are, nulls elsewhere."""
+    at = np.where(there, np.cumsum(there) - 1, 0)
+    return values.take(pa.array(at, mask=~there)) if len(values) else pa.nulls(len(there), values.type)
+
+
+def _column(tail: FileTail, i: int, c: int, rows: int) -> pa.Array:
+    """A column below parents with `rows` values in this stripe."""
+    there = present(tail, i, c, rows)
+    values = _values(tail, i, c, rows if there is None else int(there.sum()))
+    return values if there is None else _spread(values, there)
 
 
 def decode_column(tail: FileTail, stripe: int, column: int) -> pa.Array:
-    """A flat column below the root, of one stripe; nulls where its presence bits say so. Timestamps are longs of nanoseconds."""
-    rows = tail.stripe(stripe).get("rows", 0)
-    there = present(tail, stripe, column, rows)
-    values = _values(tail, stripe, column, rows if there is None else int(there.sum()))
-    if there is None:
-        return values
-    at = np.where(there, np.cumsum(there) - 1, 0)
-    return values.take(pa.array(at, mask=~there)) if len(values) else pa.nulls(rows, values.type)
+    """A column below the root, of one stripe, with all below it; nulls where presence bits say so. Timestamps are longs of nanoseconds, unions
+    structs of tag and fields."""
+    return _column(tail, stripe, column, tail.stripe(stripe).get("rows", 0))
+
+
+def read_streams(streams: DataFrame, codecs: Mapping[str, Codec] | None = None) -> DataFrame:
+    """Rows of the orc_streams source with data, the stream's decompressed bytes. Executors read no more of a file than its tail, the stripe's
+    footer and the stream."""
+    ship_package(streams.sparkSession)
+    names = streams.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = zip(*[batch.column(c).to_pylist() for c in ("file", "stripe", "column_id", "stream")], strict=True)
+            for n, (file, stripe, column, kind) in enumerate(keys):
+                read, size, close = open_source(file)
+                data = FileTail.read(read, size, codecs).stream(stripe, column, kind)
+                close()
+                yield pa.RecordBatch.from_arrays([*batch.slice(n, 1).columns, pa.array([data], pa.binary())], [*names, "data"])
+
+    return streams.mapInArrow(run, T.StructType([*streams.schema.fields, T.StructField("data", T.BinaryType())]))
 
 
-def decode_columns(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
-    """Flat columns of all stripes of a path, decoded by hand: {name: Spark type}, one task for each lot of stripes."""
+def decode_columns(spark: SparkSession, path: str, columns: dict[str, str], codecs: Mapping[str, Codec] | None = None) -> DataFrame:
+    """Columns of all stripes of a path, decoded by hand: {name: Spark type}, one task for each lot of stripes. `codecs` replaces or adds
+    decompressors."""
     register(spark)
     ship_package(spark)
     names = list(columns)
@@ -123,7 +187,7 @@ def decode_columns(spark: SparkSession, path: str, columns: dict[str, str]) -> D
         for batch in batches:
             for file, stripe in zip(batch.column("file").to_pylist(), batch.column("stripe").to_pylist(), strict=True):
                 read, size, close = open_source(file)
-                tail = FileTail.read(read, size)
+                tail = FileTail.read(read, size, codecs)
                 ids = dict(zip(tail.types[0]["names"], tail.types[0]["subtypes"], strict=True))
                 arrays = [decode_column(tail, stripe, ids[n]) for n in names]
                 close()
@@ -131,5 +195,6 @@ def decode_columns(spark: SparkSession, path: str, columns: dict[str, str]) -> D
                     raise ColumnLengthNotEqual(f"columns of {sorted({len(a) for a in arrays})} rows")
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    stripes = spark.read.format("orc_stripes").option("path", path).load().select("file", "stripe")
+    source = spark.read.format("orc_stripes").option("path", path)
+    stripes = (source.option("codecs", packed_codecs(codecs)) if codecs else source).load().select("file", "stripe")
     return stripes.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in columns.items()))

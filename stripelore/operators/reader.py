@@ -12,18 +12,32 @@ from pyspark.sql import types as T
 from ..codecs import Codec
 from ..errors import InvalidStripeIndex
 from ..sources import register
-from ..sources.files import list_files
-from ..tail import FileTail, open_source
+from ..sources.files import list_files, packed_codecs
+from ..tail import READ_AHEAD, FileTail, open_source
 from ..typetree import schema
 
 
-class OrcReader:
-    """Opens a file or a folder of files. `start` and `end` bound a file that lies within another one; `codecs` replaces or adds
-    decompressors for the metadata that is read on the driver (tail())."""
+def _matches(spark: SparkSession, pattern: str) -> list[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    if not found:
+        raise FileNotFoundError(pattern)
+    return sorted(f.getPath().toString() for f in found)
+
 
-    def __init__(self, spark: SparkSession, path: str, *, start: int = 0, end: int | None = None, codecs: Mapping[str, Codec] | None = None):
-        self.spark, self.path, self.codecs = spark, path, codecs
-        self.options = {"path": path, "start": str(start)} | ({} if end is None else {"end": str(end)})
+class OrcReader:
+    """Opens a file, a folder of files or a pattern of these. `start` and `end` bound a file that lies within another one; `codecs` replaces or
+    adds decompressors of metadata and streams, on the driver and the executors; `buffer_size` is how much the first read of a file takes
+    from its end."""
+
+    def __init__(
+        self, spark: SparkSession, path: str, *, start: int = 0, end: int | None = None, codecs: Mapping[str, Codec] | None = None, buffer_size: int = READ_AHEAD
+    ):
+        self.spark, self.codecs, self.buffer_size = spark, codecs, buffer_size
+        self.path = json.dumps(_matches(spark, path)) if any(c in path for c in "*?{") else path
+        self.options = {"path": self.path, "start": str(start), "buffer_size": str(buffer_size)} | ({} if end is None else {"end": str(end)})
+        if codecs:
+            self.options["codecs"] = packed_codecs(codecs)
         register(spark)
 
     def _source(self, name: str, **options: str) -> DataFrame:
@@ -74,7 +88,7 @@ class OrcReader:
     def tail(self, file: str | None = None) -> FileTail:
         """The tail of one file (the first). The file stays open as long as the result is used."""
         read, size, _ = open_source(file or list_files(self.path)[0], int(self.options["start"]), int(self.options["end"]) if "end" in self.options else None)
-        return FileTail.read(read, size, self.codecs)
+        return FileTail.read(read, size, self.codecs, self.buffer_size)
 
     def schema(self) -> T.StructType:
         """The first file's schema with column ids in the fields' metadata; nullable by its statistics."""
@@ -87,11 +101,11 @@ class OrcReader:
         """All rows, by Spark's own reader: columns are pruned, filters pushed down to stripes, row groups and Bloom filters."""
         if int(self.options["start"]) or "end" in self.options:
             return self.read_stripes(columns=list(columns) or None)
-        df = self.spark.read.orc(self.path)
+        df = self.spark.read.orc(json.loads(self.path) if self.path.startswith("[") else self.path)
         return df.select(*columns) if columns else df
 
     def read_stripes(self, stripe: int | None = None, batch_size: int = 4096, columns: list[str] | None = None, nanos: bool = False) -> DataFrame:
-        """Rows of one stripe of each file, or of all, one task for each stripe: unions as tagged structs, timestamps on demand in nanoseconds."""
+        """Rows of one stripe of each file, or of all, tasks by bytes of files: unions as tagged structs, timestamps on demand in nanoseconds."""
         more = {"batch_size": str(batch_size), "nanos": str(nanos).lower()}
         if stripe is not None:
             more["stripe"] = str(stripe)

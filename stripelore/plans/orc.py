@@ -10,11 +10,9 @@ from pyspark.sql import functions as F
 
 from ..fixtures import as_orc
 from ..functions import decode_integers, varint_decode, varint_encode, zigzag_decode, zigzag_encode
-from ..operators.columns import decode_columns
+from ..operators.columns import decode_columns, read_streams
 from ..operators.reader import OrcReader
 from ..shared import shared_dir
-from ..shipping import ship_package
-from ..sources import register
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -323,16 +321,37 @@ def decode_columns_nulls(spark, sf):
     return decode_columns(spark, path, {"i": "int", "b": "boolean", "d": "decimal(12,2)", "t": "date"})
 
 
+_NESTED = (
+    "CASE WHEN o_orderkey % 4 = 0 THEN NULL WHEN o_orderkey % 4 = 1 THEN slice(array(named_struct('s', o_orderstatus, 'm', map(o_orderstatus, o_custkey))), 1, 0) "
+    "ELSE array(named_struct('s', o_orderstatus, 'm', map(o_orderstatus, o_custkey)), NULL) END AS v"
+)
+
+
+@query(
+    "decode_nested",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN NULL WHEN o_orderkey % 4 = 1 THEN 0 ELSE 2 END::INTEGER AS n, "
+    "CASE WHEN o_orderkey % 4 >= 2 THEN o_orderstatus END AS first, CASE WHEN o_orderkey % 4 >= 2 THEN o_custkey END AS held, o_orderkey % 4 >= 2 AS gap FROM orders",
+)
+def decode_nested(spark, sf):
+    """Lists of structs with maps, decoded by hand."""
+    path = as_orc(spark, sf, "orders", "hand-nested", lambda df: df.selectExpr("o_orderkey", _NESTED), compression="zlib")
+    df = decode_columns(spark, path, {"o_orderkey": "long", "v": "array<struct<s:string,m:map<string,bigint>>>"})
+    held, gap = F.expr("get(v, 0).m")[F.expr("get(v, 0).s")], F.coalesce((F.size("v") == 2) & F.expr("get(v, 1)").isNull(), F.lit(False))
+    return df.select("o_orderkey", F.when(F.col("v").isNotNull(), F.size("v")).alias("n"), F.expr("get(v, 0).s").alias("first"), held.alias("held"), gap.alias("gap"))
+
+
+@query("decode_timestamps", "SELECT event_id, epoch_us(ts) * 1000 AS ns FROM events")
+def decode_timestamps(spark, sf):
+    """Timestamps by hand, by the clock of the zone that the writer notes in each stripe."""
+    path = as_orc(spark, sf, "events", "hand-time", lambda df: df.select("event_id", F.col("ts").cast("timestamp").alias("ns")))
+    return decode_columns(spark, path, {"event_id": "long", "ns": "long"})
+
+
 @query("decode_streams", "SELECT l_linenumber, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL")
 def decode_streams(spark, sf):
-    """The numbers of raw streams, by the column function."""
-    register(spark)
-    ship_package(spark)
+    """The numbers of raw streams, read by their places, by the column function."""
     path = as_orc(spark, sf, "lineitem", "uncompressed", compression="none")
-    streams = OrcReader(spark, path).streams().where("column = 'l_linenumber' AND stream = 'DATA'")
-    files = spark.read.format("binaryFile").load(path).select(F.col("path"), "content")
-    name = lambda c: F.element_at(F.split(c, "/"), -1)
-    raw = streams.join(files, name(F.col("file")) == name(F.col("path"))).select(F.substring(F.col("content"), (F.col("offset") + 1).cast("int"), F.col("length").cast("int")).alias("data"), "encoding")
+    raw = read_streams(OrcReader(spark, path).streams().where("column = 'l_linenumber' AND stream = 'DATA'")).select("data", "encoding")
     values = raw.select(F.explode(decode_integers("data", "encoding", F.lit(True))).alias("v"))
     return values.select(F.col("v").cast("int").alias("l_linenumber")).groupBy("l_linenumber").agg(F.count("*").alias("n"))
 
@@ -352,9 +371,17 @@ def filter_pushdown(spark, sf):
 
 @query("agg_pushdown", "SELECT count(*)::BIGINT AS n, min(l_orderkey) AS lo, max(l_orderkey) AS hi FROM lineitem")
 def agg_pushdown(spark, sf):
+    """Spark answers it from the footers where spark.sql.orc.aggregatePushdown is on."""
     return _striped(spark, sf).scan().agg(F.count("*").alias("n"), F.min("l_orderkey").alias("lo"), F.max("l_orderkey").alias("hi"))
 
 
+@query("agg_from_statistics", ORACLES["agg_pushdown"])
+def agg_from_statistics(spark, sf):
+    """The same from the files' statistics, under any settings, without their data."""
+    s = _striped(spark, sf).column_statistics().where("column = 'l_orderkey' AND stripe is null")
+    return s.agg(F.sum("values").alias("n"), F.min("int_min").alias("lo"), F.max("int_max").alias("hi"))
+
+
 @query("zigzag_roundtrip", "SELECT l_orderkey, CASE WHEN l_orderkey - 3000 >= 0 THEN 2 * (l_orderkey - 3000) ELSE -2 * (l_orderkey - 3000) - 1 END AS z, l_orderkey - 3000 AS back FROM lineitem")
 def zigzag_roundtrip(spark, sf):
     v = F.col("l_orderkey") - 3000

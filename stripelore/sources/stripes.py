@@ -1,7 +1,8 @@
-"""Scan by stripe: one task for each stripe, batches of a chosen size, unions and nanoseconds included."""
+"""Scan by stripe: tasks by bytes of files, batches of a chosen size, unions and nanoseconds included."""
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,9 +11,9 @@ import pyarrow.orc as paorc
 from pyspark.sql.datasource import DataSourceReader
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from ..errors import InvalidStripeIndex
-from ..tail import open_source
-from .files import FilePartition, OrcSource
+from ..errors import InvalidStripeIndex, MalformedUnion
+from ..tail import ReadAt, open_source
+from .files import FilePartition, OrcSource, sized_files
 
 
 def flat_type(t: pa.DataType, nanos: bool) -> pa.DataType:
@@ -39,6 +40,8 @@ def flat(a: pa.Array, nanos: bool) -> pa.Array:
         return a
     if pa.types.is_union(t):
         tags = a.type_codes
+        if not set(pc.unique(tags).to_pylist()) <= set(t.type_codes):
+            raise MalformedUnion("a tag that no variant of the union has")
         fields = []
         for k in range(t.num_fields):
             mine = pc.equal(tags, pa.scalar(t.type_codes[k], pa.int8()))
@@ -63,9 +66,36 @@ def _nested(t: pa.DataType) -> bool:
     return pa.types.is_nested(t)
 
 
+class BoundedFile(io.RawIOBase):
+    """A seekable file over reads by position, of which only what is asked for is held."""
+
+    def __init__(self, read: ReadAt, size: int):
+        self.read_at, self.size, self.at = read, size, 0
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.at
+
+    def seek(self, offset: int, whence: int = io.SEEK_SET) -> int:
+        self.at = max(0, offset + {io.SEEK_SET: 0, io.SEEK_CUR: self.at, io.SEEK_END: self.size}[whence])
+        return self.at
+
+    def readinto(self, buffer) -> int:
+        data = self.read_at(self.at, max(0, min(len(buffer), self.size - self.at)))
+        buffer[: len(data)] = data
+        self.at += len(data)
+        return len(data)
+
+
 class StripeScan(OrcSource):
     """Rows of the stripes of a path. Options: path, start, end; stripe (one stripe of each file; InvalidStripeIndex if a file lacks it);
-    batch_size (rows of a batch at most, 4096); columns (a comma-separated projection); nanos (true: timestamps as longs of nanoseconds)."""
+    batch_size (rows of a batch at most, 4096); columns (a comma-separated projection); nanos (true: timestamps as longs of nanoseconds);
+    split_size (64 MiB: a task takes the stripes that begin in so many bytes of a file). Codecs are Arrow's own."""
 
     @classmethod
     def name(cls) -> str:
@@ -78,10 +108,8 @@ class StripeScan(OrcSource):
     def open(self, file: str) -> paorc.ORCFile:
         start, end = self.bounds()
         if start or end is not None:
-            read, size, close = open_source(file, start, end)
-            data = read(0, size)
-            close()
-            return paorc.ORCFile(pa.BufferReader(data))
+            read, size, _ = open_source(file, start, end)
+            return paorc.ORCFile(pa.PythonFile(BoundedFile(read, size), mode="r"))
         if "://" in file or file.startswith("file:"):
             import pyarrow.fs as pafs
 
@@ -104,21 +132,30 @@ class _StripeReader(DataSourceReader):
         self.source = source
 
     def partitions(self) -> list[FilePartition]:
-        wanted, out = self.source.options.get("stripe"), []
-        for f in self.source.files():
-            n = self.source.open(f).nstripes
-            if wanted is None:
-                out += [FilePartition(f, i) for i in range(n)]
-            elif 0 <= int(wanted) < n:
-                out.append(FilePartition(f, int(wanted)))
-            else:
-                raise InvalidStripeIndex(f"stripe {wanted} of {n} in {f}")
+        """By names and sizes of files alone: at most the first file is opened here, for its schema."""
+        options = self.source.options
+        if "stripe" in options:
+            return [FilePartition(f, int(options["stripe"])) for f in self.source.files()]
+        share, out = int(options.get("split_size", 64 << 20)), []
+        start, end = self.source.bounds()
+        for f, size in sized_files(options["path"]):
+            size = (size if end is None else end) - start
+            out += [FilePartition(f, start=at, end=at + share) for at in range(0, max(1, size), share)]
         return out
 
     def read(self, partition: FilePartition) -> Iterator[pa.RecordBatch]:
         size, nanos, columns = self.source._option()
-        batch = self.source.open(partition.file).read_stripe(partition.stripe, columns=columns)
-        names = columns or batch.schema.names
-        arrays = [flat(batch.column(batch.schema.get_field_index(n)), nanos) for n in names]
-        for at in range(0, batch.num_rows, size):
-            yield pa.RecordBatch.from_arrays([a.slice(at, size) for a in arrays], names)
+        file = self.source.open(partition.file)
+        if partition.stripe is None:
+            places = self.source.with_tail(partition.file, lambda tail: [s.get("offset", 0) for s in tail.stripes])
+            stripes = [i for i, at in enumerate(places) if partition.start <= at < partition.end]
+        elif 0 <= partition.stripe < file.nstripes:
+            stripes = [partition.stripe]
+        else:
+            raise InvalidStripeIndex(f"stripe {partition.stripe} of {file.nstripes} in {partition.file}")
+        for i in stripes:
+            batch = file.read_stripe(i, columns=columns)
+            names = columns or batch.schema.names
+            arrays = [flat(batch.column(batch.schema.get_field_index(n)), nanos) for n in names]
+            for at in range(0, batch.num_rows, size):
+                yield pa.RecordBatch.from_arrays([a.slice(at, size) for a in arrays], names)

@@ -53,12 +53,14 @@ class FileTail:
     footer: dict[str, Any] = field(default_factory=dict)
     compression: Compression | None = None
     metadata_raw: bytes = b""
+    _footers: dict[int, dict] = field(default_factory=dict, repr=False)
+    _streams: dict[int, list[dict]] = field(default_factory=dict, repr=False)
 
     @classmethod
-    def read(cls, read_at: ReadAt, size: int, codecs: Mapping[str, Codec] | None = None) -> FileTail:
+    def read(cls, read_at: ReadAt, size: int, codecs: Mapping[str, Codec] | None = None, read_ahead: int = READ_AHEAD) -> FileTail:
         if size < 4:
             raise UnexpectedEof("a file of fewer than 4 bytes")
-        ahead = min(size, READ_AHEAD)
+        ahead = min(size, max(256, read_ahead))
         end = read_at(size - ahead, ahead)
         if len(end) < ahead:
             raise UnexpectedEof("the file is shorter than it seemed")
@@ -121,15 +123,21 @@ class FileTail:
         return self.stripes[i]
 
     def stripe_footer(self, i: int) -> dict:
+        """Read once for each stripe."""
+        if i in self._footers:
+            return self._footers[i]
         s = self.stripe(i)
         at = s.get("offset", 0) + s.get("index_length", 0) + s.get("data_length", 0)
         raw = self.read_at(at, s.get("footer_length", 0))
         if len(raw) < s.get("footer_length", 0):
             raise UnexpectedEof(f"the footer of stripe {i} is cut short")
-        return wire.decode(self.compression.read(raw), wire.STRIPE_FOOTER)
+        self._footers[i] = wire.decode(self.compression.read(raw), wire.STRIPE_FOOTER)
+        return self._footers[i]
 
     def streams(self, i: int) -> list[dict]:
         """kind, column, offset and length of each stream of a stripe, in their order."""
+        if i in self._streams:
+            return self._streams[i]
         s, out = self.stripe(i), []
         at = s.get("offset", 0)
         end = at + s.get("index_length", 0) + s.get("data_length", 0)
@@ -139,13 +147,17 @@ class FileTail:
                 raise MalformedStream(f"a stream of stripe {i} reaches beyond it")
             out.append({"kind": wire.STREAMS[n] if n < len(wire.STREAMS) else f"#{n}", "column": x.get("column", 0), "offset": at, "length": length})
             at += length
+        self._streams[i] = out
         return out
 
     def stream(self, i: int, column: int, kind: str) -> bytes:
         """The decompressed bytes of one stream."""
         for x in self.streams(i):
             if (x["column"], x["kind"]) == (column, kind):
-                return self.compression.read(self.read_at(x["offset"], x["length"]))
+                raw = self.read_at(x["offset"], x["length"])
+                if len(raw) < x["length"]:
+                    raise UnexpectedEof(f"the {kind} stream of column {column} in stripe {i} is cut short")
+                return self.compression.read(raw)
         raise InvalidStreamKind(f"column {column} has no {kind} stream in stripe {i}")
 
     def encoding(self, i: int, column: int) -> str:
@@ -156,7 +168,9 @@ class FileTail:
         return wire.decode(self.stream(i, column, "ROW_INDEX"), wire.ROW_INDEX)["entries"]
 
     def bloom_filters(self, i: int, column: int) -> list[dict]:
-        """hashes and bits (bytes) of each group of rows; only filters over UTF-8 are read."""
+        """hashes and bits (bytes) of each group of rows; only filters over UTF-8 whose encoding says so are read, of others there are none."""
+        if self.stripe_footer(i)["columns"][column].get("bloom_encoding", 0) != 1:
+            return []
         filters = wire.decode(self.stream(i, column, "BLOOM_FILTER_UTF8"), wire.BLOOM_INDEX)["filters"]
         for f in filters:
             if not f.get("hashes") or "utf8bitset" not in f:

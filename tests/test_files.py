@@ -14,9 +14,10 @@ from hypothesis import strategies as st
 
 from stripelore import wire
 from stripelore.codecs import Compression, frame, lz4_block
-from stripelore.errors import CorruptedProtobuf, InvalidSchema, InvalidStreamKind, InvalidStripeIndex, InvalidTail, MalformedStream, TypeNotSupported, UnexpectedEof, UnsupportedFeature, UnsupportedUnion
-from stripelore.operators.columns import decode_column
+from stripelore.errors import CorruptedProtobuf, InvalidSchema, InvalidStreamKind, InvalidStripeIndex, InvalidTail, MalformedStream, MalformedUnion, TypeNotSupported, UnexpectedEof, UnsupportedFeature, UnsupportedUnion
+from stripelore.operators.columns import decode_column, decode_columns
 from stripelore.operators.reader import OrcReader
+from stripelore.shared import shared_dir
 from stripelore.tail import FileTail, bytes_source, part_of
 from stripelore.typetree import column_id, schema, validate
 
@@ -64,8 +65,98 @@ def test_statistics_and_schema():
 def test_timestamps_by_hand():
     ns = np.array([0, 1, 1_500_000_000, -1_500_000_000, 1420070400_000000000, -1, 1_000_000_001], np.int64)
     tail = FileTail.read(*bytes_source(written(pa.table({"t": pa.array(ns).cast(pa.timestamp("ns"))}))))
-    got = decode_column(tail, 0, 1).to_pylist()
-    assert got[0] == 0 and got[2] == ns[2] and got[3] == ns[3] and got[4] == ns[4] and got[6] == ns[6]
+    got, arrow = decode_column(tail, 0, 1).to_pylist(), paorc.ORCFile(io.BytesIO(written(pa.table({"t": pa.array(ns).cast(pa.timestamp("ns"))})))).read().column("t")
+    assert got == arrow.cast(pa.int64()).to_pylist() and [got[k] for k in (0, 2, 3, 4, 6)] == [ns[k] for k in (0, 2, 3, 4, 6)]
+
+
+def test_timestamps_of_other_zones(spark, tmp_path):
+    """Files that the JVM writes in a zone show what its clock showed."""
+    zones, known = spark._jvm.java.util.TimeZone, spark._jvm.java.util.TimeZone.getDefault()
+    clock = ["2015-01-01 00:00:00", "2023-07-04 12:30:00.25", "1969-12-31 20:00:00.5", "2023-11-05 00:59:59", "1955-06-01 01:02:03"]
+    for zone in ("America/New_York", "Asia/Kolkata", "UTC"):
+        path = str(tmp_path / zone.replace("/", "-"))
+        before = spark.conf.get("spark.sql.session.timeZone")
+        zones.setDefault(zones.getTimeZone(zone))
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            spark.createDataFrame([(c,) for c in clock], "c string").coalesce(1).selectExpr("cast(c as timestamp) t").write.orc(path)
+        finally:
+            zones.setDefault(known)
+            spark.conf.set("spark.sql.session.timeZone", before)
+        tail = OrcReader(spark, path).tail()
+        assert tail.stripe_footer(0)["timezone"] == zone
+        want = [int(np.datetime64(c.replace(" ", "T"), "ns").astype(np.int64)) for c in clock]
+        assert decode_column(tail, 0, 1).to_pylist() == want, zone
+
+
+def test_nested_by_hand():
+    inner = pa.struct([("a", pa.int64()), ("b", pa.list_(pa.string()))])
+    table = pa.table({
+        "l": pa.array([[1, None], [], None, [2**40]] * 300, pa.list_(pa.int64())),
+        "s": pa.array([{"a": 1, "b": ["x", None]}, None, {"a": None, "b": []}, {"a": 4, "b": None}] * 300, inner),
+        "m": pa.array([[("k", {"a": 1, "b": None})], None, [], [("j", None), ("i", {"a": None, "b": ["y"]})]] * 300, pa.map_(pa.string(), inner)),
+        "ll": pa.array([[[1], None, []], None, [], [[2, 3]]] * 300, pa.list_(pa.list_(pa.int32()))),
+    })
+    tail = FileTail.read(*bytes_source(written(table, compression="zlib")))
+    ids = dict(zip(tail.types[0]["names"], tail.types[0]["subtypes"], strict=True))
+    for name in table.column_names:
+        assert decode_column(tail, 0, ids[name]).to_pylist() == table.column(name).to_pylist(), name
+    union = pa.UnionArray.from_dense(pa.array([0, 1, 0], pa.int8()), pa.array([0, 0, 1], pa.int32()), [pa.array([5, 6]), pa.array(["x"])])
+    tail = FileTail.read(*bytes_source(written(pa.table({"u": union}))))
+    assert decode_column(tail, 0, 1).to_pylist() == [{"tag": 0, "field0": 5, "field1": None}, {"tag": 1, "field0": None, "field1": "x"}, {"tag": 0, "field0": 6, "field1": None}]
+    tail.types[1]["subtypes"] = tail.types[1]["subtypes"][:1]
+    with pytest.raises(MalformedUnion):
+        decode_column(tail, 0, 1)
+
+
+def test_short_streams_and_cached_footers():
+    raw = written(TABLE, compression="uncompressed")
+    reads = []
+    tail = FileTail.read(lambda at, n: reads.append((at, n)) or raw[at : at + n], len(raw), read_ahead=300)
+    for k in range(1, 13):
+        tail.encoding(0, k)
+        tail.streams(0)
+    s = tail.stripe(0)
+    footer = (s["offset"] + s["index_length"] + s["data_length"], s["footer_length"])
+    assert reads.count(footer) == 1
+    tail.read_at = lambda at, n: raw[at : at + n - 1]
+    with pytest.raises(UnexpectedEof):
+        tail.stream(0, 4, "DATA")
+
+
+def test_codecs_and_patterns_on_executors(spark, tmp_path):
+    def own_deflate(block, most):
+        import zlib
+
+        return zlib.decompress(block, -15)
+
+    def refusing(block, most):
+        raise ValueError("own codec at work")
+
+    for k in range(3):
+        spark.range(1000 * k, 1000 * k + 1000).selectExpr("id", "repeat(cast(id as string), 20) t").coalesce(1).write.option("compression", "zlib").orc(str(tmp_path / f"part={k}"))
+    assert sorted(r.id for r in decode_columns(spark, str(tmp_path), {"id": "long"}, {"ZLIB": own_deflate}).collect()) == list(range(3000))
+    with pytest.raises(Exception, match="own codec at work"):
+        decode_columns(spark, str(tmp_path), {"t": "string"}, {"ZLIB": refusing}).collect()
+    with pytest.raises(Exception, match="own codec at work"):
+        OrcReader(spark, str(tmp_path), codecs={"ZLIB": refusing}).column_statistics().collect()
+    r = OrcReader(spark, str(tmp_path / "part=[01]*") + "{,}", codecs={"ZLIB": own_deflate}, buffer_size=512)
+    assert r.num_rows() == 2000 and r.scan().count() == 2000 and r.read_stripes().count() == 2000
+    splits = OrcReader(spark, str(tmp_path))._source("orc_stripe_scan", split_size="100")
+    assert splits.rdd.getNumPartitions() > 3 and splits.count() == 3000
+
+
+def test_shared_folder_of_a_cluster():
+    class Session:
+        class conf:
+            get = staticmethod(lambda k, d=None: d)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_dir(Session)
 
 
 def test_within_another_file():
