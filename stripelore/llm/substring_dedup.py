@@ -14,10 +14,11 @@ from pyspark.sql import types as T
 
 from .common import Scratch, map_arrow, table
 
-#: A sentence ends behind stops with white space after them, or behind line breaks.
-END = re.compile(r"[.!?]+[ \t\n\r\f\v]+|\n[ \t\n\r\f\v]*")
+#: Sentences of a span.
+SPAN = 3
+#: A sentence ends behind stops with white space after them, behind full-width stops, or behind line breaks.
+END = re.compile(r"[.!?]+[ \t\n\r\f\v]+|[。！？｡]+[ \t\n\r\f\v]*|\n[ \t\n\r\f\v]*")
 BLANK = " \t\n\r\f\v"
-WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def sentences(text: str) -> list[str]:
@@ -28,21 +29,18 @@ def sentences(text: str) -> list[str]:
     return [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True) if a < b]
 
 
-def span_hashes(pieces: list[str], span: int, alone: int) -> list[tuple[int, int, bytes]]:
-    """(first sentence, sentences, 128-bit hash) of every run of `span` consecutive sentences and of every sentence of `alone` words or
-    more by itself, without the white space around each sentence."""
-    bare = [p.strip(BLANK) for p in pieces]
-    runs = [(i, span, "\n".join(bare[i : i + span])) for i in range(len(bare) - span + 1)]
-    runs += [(i, 1, p) for i, p in enumerate(bare) if len(p) >= 2 * alone - 1 and len(WORDS.findall(p)) >= alone]
-    return [(i, n, xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass"))) for i, n, t in runs]
+def span_hashes(pieces: list[str], span: int) -> list[bytes]:
+    """A 128-bit hash of every run of `span` consecutive sentences, without the white space around each sentence."""
+    bare = [p.strip(BLANK).encode("utf-8", "surrogatepass") for p in pieces]
+    return [xxhash.xxh3_128_digest(b"\n".join(bare[i : i + span])) for i in range(len(bare) - span + 1)]
 
 
-def _spans(span: int, alone: int):
+def _spans(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hashes = [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                found = {h for _, _, h in span_hashes(sentences(text.as_py() or ""), span, alone)}
+                found = set(span_hashes(sentences(text.as_py() or ""), span))
                 hashes.extend(found)
                 ids.extend([doc_id] * len(found))
                 if len(ids) > 100_000:
@@ -53,32 +51,17 @@ def _spans(span: int, alone: int):
     return run
 
 
-def covered(spans: list[tuple[int, int, bytes]], gone: set[bytes], n: int) -> np.ndarray:
+def covered(spans: list[bytes], gone: set[bytes], n: int, span: int) -> np.ndarray:
     """Which of n sentences lie in a span whose first 8 bytes are in `gone`, or that comes a second time in this text."""
     out, seen = np.zeros(n, bool), set()
-    for i, size, h in spans:
+    for i, h in enumerate(spans):
         if h[:8] in gone or h in seen:
-            out[i : i + size] = True
+            out[i : i + span] = True
         seen.add(h)
     return out
 
 
-def without(pieces: list[str], drop: np.ndarray, min_words: int) -> tuple[str, int]:
-    """The text without the stretches of dropped sentences that have min_words words or more; how many sentences went."""
-    kept, gone, i, n = [], 0, 0, len(pieces)
-    while i < n:
-        j = i
-        while j < n and drop[j] == drop[i]:
-            j += 1
-        if drop[i] and sum(len(WORDS.findall(p)) for p in pieces[i:j]) >= min_words:
-            gone += j - i
-        else:
-            kept += pieces[i:j]
-        i = j
-    return "".join(kept), gone
-
-
-def _cut(span: int, min_words: int, alone: int):
+def _cut(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gone, column = batch.column("__gone"), batch.column("__text")
@@ -87,15 +70,15 @@ def _cut(span: int, min_words: int, alone: int):
                 text = text.as_py()
                 pieces = sentences(text or "")
                 counts.append(len(pieces))
-                spans = span_hashes(pieces, span, alone)
+                spans = span_hashes(pieces, span)
                 bad = set(g.as_py() or ())
-                if not bad and len({h for _, _, h in spans}) == len(spans):
+                if not bad and len(set(spans)) == len(spans):
                     texts.append(text)
                     drops.append(0)
                     continue
-                new, n = without(pieces, covered(spans, bad, len(pieces)), min_words)
-                texts.append(new)
-                drops.append(n)
+                drop = covered(spans, bad, len(pieces), span)
+                texts.append("".join(p for p, d in zip(pieces, drop.tolist(), strict=True) if not d))
+                drops.append(int(drop.sum()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(drops, pa.int64())],
                 ["row", "text", "n_sentences", "n_removed"],
@@ -104,34 +87,34 @@ def _cut(span: int, min_words: int, alone: int):
     return run
 
 
-def remove_repeated_spans(docs: DataFrame, span: int = 2, min_words: int = 20, alone: int = 25) -> DataFrame:
-    """The rows of docs, all columns, with repeated passages cut from text; adds n_sentences and n_removed.
+def remove_repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """The rows of docs, all columns, with repeated passages cut from text; adds (or replaces) n_sentences and n_removed.
 
-    Every run of `span` consecutive sentences is hashed and joined over all documents, and so is a sentence of `alone` words or more, which
-    can be most of a passage whose other sentences are cut at its ends. The first place of a
-    run is in the document with the smallest doc_id, at its first position there; sentences that any other place covers
-    go, in stretches of min_words words or more (shorter ones are greetings, headings and other common phrases).
+    Every run of `span` consecutive sentences is hashed and joined over all documents. The first place of a run is in the document with the
+    smallest doc_id, at its first position there; every sentence that any other place covers goes, however short it is.
 
-    Defined results: null text stays null, an empty or one-sentence text stays as it is; rows with one doc_id count as one
-    document and share its first places; a row without doc_id loses only what it repeats itself; a document all of
-    whose sentences are repeats keeps its row with an empty text. Hot passages are pre-aggregated per task and
-    then met by one row each.
+    Defined results: null text stays null, a text of fewer than `span` sentences, or an empty one, stays as it is; rows with one doc_id
+    count as one document and share its first places; a row without doc_id loses only what it repeats itself; a document all of
+    whose sentences are repeats keeps its row with an empty text; texts of any length are taken whole; an empty table stays empty. A hot
+    passage is one row for each document that has it; its rows are counted in their tasks first, and where they are joined, large
+    partitions are split.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "spans")
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spans = scratch.keep(map_arrow(texts, _spans(span, alone), "h binary, doc_id long"), "spans")
+    spans = scratch.keep(map_arrow(texts, _spans(span), "h binary, doc_id long"), "spans")
     repeated = spans.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first")
+    repeated = scratch.keep(repeated, "repeated")  # so that the join is of two plain tables, whose hot partitions Spark splits
     later = spans.join(repeated, "h").where("doc_id > first")
     gone = scratch.keep(later.groupBy("doc_id").agg(F.collect_list(F.substring("h", 1, 8)).alias("gone")), "gone")
-    scratch.drop(spans)
+    scratch.drop(spans, repeated)
     rest = [c for c in docs.columns if c not in ("text", "n_sentences", "n_removed")]
     row = F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row")
     named = docs.select(row, F.col("text").cast("string").alias("__text"), F.col("doc_id").cast("long").alias("__id"))
     # texts go by doc_id at every size: what is removed grows with the corpus
     out = named.join(gone.select(F.col("doc_id").alias("__gone_id"), F.col("gone").alias("__gone")), F.col("__id") == F.col("__gone_id"), "left")
     fields = [T.StructField("row", named.schema["row"].dataType), T.StructField("text", T.StringType()), T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())]
-    cut = map_arrow(out.select("row", "__text", "__gone"), _cut(span, min_words, alone), T.StructType(fields))
+    cut = map_arrow(out.select("row", "__text", "__gone"), _cut(span), T.StructType(fields))
     kept = [F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in ("n_sentences", "n_removed")]
     return cut.select(*kept, "n_sentences", "n_removed")
 
@@ -143,22 +126,15 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = r"""
 WITH p AS (
-  SELECT doc_id, text, list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?]+[ \t\n\r\f\v]+|\n[ \t\n\r\f\v]*)', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s
+  SELECT doc_id, text, list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?]+[ \t\n\r\f\v]+|[。！？｡]+[ \t\n\r\f\v]*|\n[ \t\n\r\f\v]*)', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s
   FROM documents),
 i AS (SELECT doc_id, unnest(s) AS piece, unnest(range(len(s))) AS pos FROM p),
 n AS (SELECT *, trim(piece, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM i),
-r AS (SELECT *, lead(bare) OVER (PARTITION BY doc_id ORDER BY pos) AS after FROM n),
-f AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY bare || chr(10) || after ORDER BY doc_id, pos) > 1 AS again FROM r WHERE after IS NOT NULL),
-o AS (
-  SELECT doc_id, pos, row_number() OVER (PARTITION BY bare ORDER BY doc_id, pos) > 1 AS again
-  FROM n WHERE len(regexp_extract_all(bare, '[^\x20\x09-\x0D]+')) >= 25),
-c AS (
-  SELECT r.doc_id, r.pos, r.piece, coalesce(f.again, false) OR coalesce(lag(f.again) OVER (PARTITION BY r.doc_id ORDER BY r.pos), false)
-         OR coalesce(o.again, false) AS gone
-  FROM r LEFT JOIN f ON r.doc_id = f.doc_id AND r.pos = f.pos LEFT JOIN o ON r.doc_id = o.doc_id AND r.pos = o.pos),
-g AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, gone ORDER BY pos) AS stretch FROM c),
-w AS (SELECT *, gone AND sum(len(regexp_extract_all(piece, '[^\x20\x09-\x0D]+'))) OVER (PARTITION BY doc_id, gone, stretch) >= 20 AS cut FROM g)
-SELECT p.doc_id, CASE WHEN p.text IS NULL THEN NULL ELSE coalesce(string_agg(w.piece, '' ORDER BY w.pos) FILTER (NOT w.cut), '') END AS text,
-       count(w.pos)::BIGINT AS n_sentences, (count(w.pos) FILTER (w.cut))::BIGINT AS n_removed
-FROM p LEFT JOIN w ON p.doc_id = w.doc_id GROUP BY p.doc_id, p.text
+r AS (SELECT *, lead(bare, 1) OVER w AS second, lead(bare, 2) OVER w AS third FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+f AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY bare || chr(10) || second || chr(10) || third ORDER BY doc_id, pos) > 1 AS again FROM r WHERE third IS NOT NULL),
+a AS (SELECT r.doc_id, r.pos, r.piece, coalesce(f.again, false) AS again FROM r LEFT JOIN f ON r.doc_id = f.doc_id AND r.pos = f.pos),
+c AS (SELECT doc_id, pos, piece, bool_or(again) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS gone FROM a)
+SELECT p.doc_id, CASE WHEN p.text IS NULL THEN NULL ELSE coalesce(string_agg(c.piece, '' ORDER BY c.pos) FILTER (NOT c.gone), '') END AS text,
+       count(c.pos)::BIGINT AS n_sentences, (count(c.pos) FILTER (c.gone))::BIGINT AS n_removed
+FROM p LEFT JOIN c ON p.doc_id = c.doc_id GROUP BY p.doc_id, p.text
 """
