@@ -10,7 +10,7 @@ from conftest import SF, same_rows
 
 from stripelore.llm import registry
 from stripelore.llm.mixing import mix_copies, mix_to_targets
-from stripelore.llm.sharding import Conflict, ShardStore
+from stripelore.llm.sharding import Conflict, SchemaConflict, ShardStore
 from stripelore.llm.url_filter import filter_urls
 from stripelore.shared import shared_dir
 
@@ -109,7 +109,7 @@ def test_shards(spark):
     s.append(docs.limit(0))
     assert s.read().exceptAll(docs).count() == 0 and docs.exceptAll(s.read()).count() == 0
     files = s.manifest().count()
-    assert files < 9 and s.manifest().agg({"rows": "sum"}).first()[0] == 302
+    assert s.manifest().agg({"files": "sum"}).first()[0] < 9 and s.manifest().agg({"rows": "sum"}).first()[0] == 302
     old = s.read(2).count()
     assert 0 < old < 302
     s.vacuum()
@@ -128,5 +128,34 @@ def test_two_writers(spark):
     rows = s._write(spark.range(4), 2)
     s.append(spark.range(5))
     with pytest.raises(Conflict):
-        s._commit(s.manifest(1).unionByName(rows), 2)
+        s._commit(2, s.schema(1), rows)
     assert s.read().count() == 8
+
+
+def test_columns_come_go_and_widen(spark):
+    s = store(spark, fanout=2, small_bytes=1 << 10, target_bytes=1 << 20)
+    s.append(spark.createDataFrame([(1, 1.5)], "id int, x float").coalesce(1))
+    s.append(spark.createDataFrame([(5 << 40, "b", 2.25)], "ID long, b string, x double").coalesce(1))
+    s.append(spark.createDataFrame([("c",)], "b string").coalesce(1))
+    want = [(1, 1.5, None), (5 << 40, 2.25, "b"), (None, None, "c")]
+    for _ in range(2):
+        got = s.read()
+        assert got.dtypes == [("id", "bigint"), ("x", "double"), ("b", "string")] and sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+        s.compact()
+        s.vacuum()
+    before = s.version(), len(s._names("data"))
+    with pytest.raises(SchemaConflict):
+        s.append(spark.createDataFrame([("1",)], "id string"))
+    assert (s.version(), len(s._names("data"))) == before and s.read(s.version()).count() == 3
+
+
+def test_manifests_over_many_versions(spark, monkeypatch):
+    monkeypatch.setattr("stripelore.llm.sharding.WHOLE", 3)
+    s = store(spark, fanout=3, small_bytes=1 << 10, target_bytes=1 << 20)
+    for k in range(8):
+        s.append(spark.range(k, k + 1).coalesce(1))
+        s.compact()
+        assert s.read().count() == k + 1
+    assert s.read(2).count() == 2
+    s.vacuum(2)
+    assert s.read().count() == 8 and s.read(s.version() - 1).count() in (7, 8)
