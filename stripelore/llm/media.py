@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -159,37 +160,55 @@ def cosine_hash(samples: np.ndarray) -> bytes:
 
 
 def to_media(docs: DataFrame, level: int = 6) -> DataFrame:
-    """doc_id, n_bytes and media: the UTF-8 bytes of each whole text, padded with spaces to rows of 192, as an RGB PNG 64
-    pixels wide. Null is an empty text, one row of spaces. One row for each row; an empty table stays empty."""
+    """doc_id, n_bytes and media, no other columns: the UTF-8 bytes of each whole text, of any length, padded with spaces to rows of 192, as
+    an RGB PNG 64 pixels wide. Null is an empty text, one row of spaces. One row for each row, repeated ones too, and equal texts
+    give equal images; an empty table stays empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text")
-            for first in range(0, len(texts), 256):
-                raw = [(t.as_py() or "").encode("utf-8") for t in texts.slice(first, 256)]
+            for first, last in _lots(batch.column("text")):
+                raw = [(t.as_py() or "").encode("utf-8") for t in batch.column("text").slice(first, last - first)]
                 media = [write_png(np.frombuffer(pad(x), np.uint8).reshape(-1, ROW // 3, 3), level) for x in raw]
-                columns = [batch.column("doc_id").slice(first, 256), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())]
+                columns = [batch.column("doc_id").slice(first, last - first), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "media"])
 
     fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]
     return map_arrow(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, T.StructType(fields))
 
 
+def _lots(column: pa.Array, most: int = 256, size: int = 16 << 20) -> Iterator[tuple[int, int]]:
+    """(first, end) of rows in a row, up to `most` of them and about `size` bytes, one at least."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    first, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > first and (i - first == most or held + n > size):
+            yield first, i
+            first, held = i, 0
+        held += n
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
 def read_media(media: DataFrame, column: str = "media") -> DataFrame:
-    """Adds payload (the samples' bytes, read back with every checksum tested) and hash (the cosine hash, 8 bytes).
-    Null media give nulls; a file that is not a valid PNG raises MediaError. Other columns pass."""
-    schema = T.StructType([*media.schema.fields, T.StructField("payload", T.BinaryType()), T.StructField("hash", T.BinaryType())])
+    """Adds (or replaces) payload (the samples' bytes, read back with every checksum tested) and hash (the cosine hash, 8 bytes).
+    Null media give nulls; a file that is not a valid PNG raises MediaError. The other columns pass, whatever their names; one row for each
+    row, and an empty table stays empty."""
+    rest = [c for c in media.columns if c not in ("payload", "hash", column)]
+    row = F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row")
+    named = media.select(row, F.col(f"`{column}`").alias("media"))
+    schema = T.StructType([T.StructField("row", named.schema["row"].dataType), T.StructField("media", named.schema["media"].dataType), T.StructField("payload", T.BinaryType()), T.StructField("hash", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, len(batch), 256):
-                part = batch.slice(first, 256)
-                images = [None if x.as_py() is None else read_png(x.as_py()) for x in part.column(column)]
+            for first, last in _lots(batch.column("media")):
+                part = batch.slice(first, last - first)
+                images = [None if x.as_py() is None else read_png(x.as_py()) for x in part.column("media")]
                 payload = pa.array([None if x is None else x.tobytes() for x in images], pa.binary())
                 hashes = pa.array([None if x is None else cosine_hash(x) for x in images], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, payload, hashes], [*part.schema.names, "payload", "hash"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("media"), payload, hashes], ["row", "media", "payload", "hash"])
 
-    return map_arrow(media, run, schema)
+    kept = [F.col("media").alias(c) if c == column else F.col(f"row.`{c}`") for c in media.columns if c not in ("payload", "hash")]
+    return map_arrow(named, run, schema).select(*kept, "payload", "hash")
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
