@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,10 +57,29 @@ class Scratch:
                 fs.delete(p, True)
 
 
-def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """mapInArrow, with this package at hand in the workers."""
+#: What operators keep in a worker process from one task to the next, by operator.
+AT_HAND: dict[str, list | dict] = {}
+
+
+def _give_back() -> None:
+    """Memory that a task no longer uses goes back to the machine, as the process lives on."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such function
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_arrow(df: DataFrame, run, schema, keeps: str | None = None) -> DataFrame:
+    """mapInArrow, with this package at hand in the workers. A worker drops what other operators than `keeps` have left in it."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, kept in AT_HAND.items():
+            if name != keeps:
+                kept.clear()
+        yield from run(batches)
+        _give_back()
+
+    return df.mapInArrow(task, schema)
 
 
 def unit_interval(*parts: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, table
+from .common import AT_HAND, map_arrow, table
 
 #: Length of the common subsequences and weight of each character that one spans.
 ORDER, DECAY = 4, 0.8
@@ -240,7 +240,7 @@ class ToxicityModel:
     insults: int = 0
     slope: float = 4.0
     offset: float = 0.0
-    remembered: int = 400_000
+    remembered: int = 250_000
     known: dict[str, float] = field(default_factory=dict, repr=False)
     aligned: _Landmarks | None = field(default=None, repr=False)
 
@@ -498,6 +498,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clea
 
 #: The model that this worker process scored with last; what it has learned of words serves the next task too.
 _AT_HAND: list[ToxicityModel] = []
+AT_HAND["toxicity"] = _AT_HAND
 
 
 def _kept(model: ToxicityModel) -> ToxicityModel:
@@ -523,7 +524,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
                 m = model.document_margins([t.as_py() or "" for t in part.column("text")])
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(model.probability(m), pa.float64())], ["row", "score"])
 
-    made = map_arrow(docs.select(row, F.col("text").cast("string").alias("text")), run, schema)
+    made = map_arrow(docs.select(row, F.col("text").cast("string").alias("text")), run, schema, "toxicity")
     return made.select(*[F.col(f"row.`{c}`") for c in rest], "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
