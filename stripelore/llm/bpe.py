@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, table
+from .common import AT_HAND, map_arrow, table
 from .shingles import mix64
 
 
@@ -120,14 +120,16 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Tokenizer:
-    """Encodes texts and decodes ids. `remembered` bounds the number of pre-tokens whose ids are kept at hand."""
+    """Encodes texts and decodes ids. `remembered` bounds the number of pre-tokens whose ids are kept at hand, in two generations: what
+    has not come up since the younger one began goes when that is full."""
 
-    def __init__(self, tokens: list[bytes], pattern: str, hashed: PerfectHash, remembered: int = 200_000):
+    def __init__(self, tokens: list[bytes], pattern: str, hashed: PerfectHash, remembered: int = 600_000):
         self.tokens, self.hashed, self.remembered = tokens, hashed, remembered
         self.ranks = {t: i for i, t in enumerate(tokens)}
         # \s in the pattern means the property White_Space; other libraries' \s also takes U+001C to U+001F
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def learn(self, pieces: list[str]) -> None:
         """Finds the ids of pre-tokens: the perfect hash for those in the vocabulary, the heap for the others."""
@@ -141,10 +143,14 @@ class Tokenizer:
         pieces = self.split(text)
         new = set(pieces).difference(self.known)
         if new:
-            if len(self.known) > self.remembered:
-                self.known.clear()
+            if len(self.known) > self.remembered // 2:
+                self.older, self.known = self.known, {}
                 new = set(pieces)
-            self.learn(list(new))
+            again = {p: self.older[p] for p in new if p in self.older}
+            self.known.update(again)
+            new.difference_update(again)
+            if new:
+                self.learn(list(new))
         return b"".join(map(self.known.__getitem__, pieces))
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -153,6 +159,7 @@ class Tokenizer:
 
 #: One tokenizer for each vocabulary and worker process; a task finds it as the one before left it.
 _AT_HAND: dict[tuple, Tokenizer] = {}
+AT_HAND["bpe"] = _AT_HAND
 
 
 def _tokenizer(shared) -> Tokenizer:
@@ -211,7 +218,7 @@ def _around(docs: DataFrame, column: str, name: str, value, run, out: str, got:
     rest = [c for c in docs.columns if c != out]
     row = F.struct(*[F.col(f"`{c}`") for c in rest])
     schema = T.StructType([T.StructField("row", docs.select(row.alias("row")).schema["row"].dataType), T.StructField(got, kind)])
-    made = map_arrow(docs.select(row.alias("row"), value.alias(name)), run, schema)
+    made = map_arrow(docs.select(row.alias("row"), value.alias(name)), run, schema, "bpe")
     return made.select(*[F.col(f"row.`{c}`") for c in rest], F.col(got).alias(out))
 
 
@@ -232,7 +239,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids_bytes", "decoded"])
 
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("ids_bytes", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
-    return map_arrow(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, schema)
+    return map_arrow(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, schema, "bpe")
 
 
 def encode_and_decode(docs: DataFrame) -> DataFrame:
