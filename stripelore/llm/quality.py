@@ -21,7 +21,7 @@ ORDER = 4
 #: Stands before a text's first character, as often as n-grams need.
 EDGE = "\x02"
 #: Characters and texts of a block, at about which it is closed; a text is never cut.
-BLOCK, TEXTS = 6 << 20, 60_000
+BLOCK, TEXTS = 5 << 20, 60_000
 #: Codes up to so many are numbered by a table, more by sorting.
 DENSE = 1 << 23
 
@@ -73,10 +73,12 @@ def grams_of(texts: list[str], order: int = ORDER) -> tuple[list[str], np.ndarra
 
 
 def _count(order: int):
+    def counts(lot: list[str]) -> pa.RecordBatch:
+        grams, place, _ = grams_of(lot, order)
+        return pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(np.bincount(place, minlength=len(grams)), pa.int64())], ["gram", "c"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lot in _lots(batches):
-            grams, place, _ = grams_of(lot, order)
-            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(np.bincount(place, minlength=len(grams)), pa.int64())], ["gram", "c"])
+        yield from map(counts, _lots(batches))
 
     return run
 
@@ -94,24 +96,26 @@ def _blocks(order: int):
     """Texts -> a row for each block: its name (by what it holds), its texts by digest and length, its n-grams, and for each n-gram in turn
     the texts that have it and how often (255 at a time)."""
 
+    def block(lot: list[str]) -> pa.RecordBatch:
+        grams, place, owner = grams_of(lot, order)
+        pair, counts = np.unique(place.astype(np.int64) * len(lot) + owner, return_counts=True)
+        more = -(-counts // 255)
+        pair = np.repeat(pair, more)
+        times = np.full(len(pair), 255, np.uint8)
+        times[np.cumsum(more) - 1] = counts - 255 * (more - 1)
+        which, text = pair // len(lot), (pair % len(lot)).astype(np.int32)
+        starts = np.searchsorted(which, np.arange(len(grams) + 1)).astype(np.int32)
+        steps = np.diff(text, prepend=0)
+        steps[starts[:-1]] = text[starts[:-1]]
+        steps = steps.astype(np.uint16)
+        digests = _digest(lot)
+        name = int(np.uint64(xxhash.xxh3_64_intdigest(digests.tobytes())).view(np.int64))
+        held = [digests, np.array([len(t) for t in lot], np.int64), np.diff(starts).astype(np.int32), (steps & 255).astype(np.uint8), (steps >> 8).astype(np.uint8), times]
+        columns = [pa.array([name], pa.int64()), pa.array([grams], pa.list_(pa.string())), *[pa.array([_packed(x)], pa.binary()) for x in held]]
+        return pa.RecordBatch.from_arrays(columns, _BLOCK)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lot in _lots(batches):
-            grams, place, owner = grams_of(lot, order)
-            pair, counts = np.unique(place.astype(np.int64) * len(lot) + owner, return_counts=True)
-            more = -(-counts // 255)
-            pair = np.repeat(pair, more)
-            times = np.full(len(pair), 255, np.uint8)
-            times[np.cumsum(more) - 1] = counts - 255 * (more - 1)
-            which, text = pair // len(lot), (pair % len(lot)).astype(np.int32)
-            starts = np.searchsorted(which, np.arange(len(grams) + 1)).astype(np.int32)
-            steps = np.diff(text, prepend=0)
-            steps[starts[:-1]] = text[starts[:-1]]
-            steps = steps.astype(np.uint16)
-            digests = _digest(lot)
-            name = int(np.uint64(xxhash.xxh3_64_intdigest(digests.tobytes())).view(np.int64))
-            held = [digests, np.array([len(t) for t in lot], np.int64), np.diff(starts).astype(np.int32), (steps & 255).astype(np.uint8), (steps >> 8).astype(np.uint8), times]
-            columns = [pa.array([name], pa.int64()), pa.array([grams], pa.list_(pa.string())), *[pa.array([_packed(x)], pa.binary()) for x in held]]
-            yield pa.RecordBatch.from_arrays(columns, _BLOCK)
+        yield from map(block, _lots(batches))  # what a block takes is free before the next one
 
     return run
 
