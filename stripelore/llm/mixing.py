@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .common import Scratch, join_small, table, unit_interval, word_count
 
 #: Into how many parts the rank order is cut. Only the part in which a source's target is reached is sorted.
 PARTS = 65536
+#: So many parts are first summed together.
+TOGETHER = 256
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, max_repeat: int) -> DataFrame:
@@ -47,6 +49,12 @@ def wanted(target: Column, mass: Column, importance: Column, max_repeat: int) ->
     return F.when((mass > 0) & (importance > 0), F.least(F.lit(float(max_repeat)), target * importance / mass)).otherwise(F.lit(0.0))
 
 
+def reaching(hist: DataFrame, by_source: WindowSpec, order: str, before: Column | None = None) -> DataFrame:
+    """The rows of each source at which the running sum of words, with `before`, has reached rest; adds that sum as upto."""
+    running = F.sum("words").over(by_source.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return hist.withColumn("upto", running if before is None else running + before).where("upto >= rest")
+
+
 def mix_to_targets(
     docs: DataFrame,
     weights: Sequence[int] = (1, 2, 3),
@@ -86,19 +94,27 @@ def mix_to_targets(
     t = targets.select(F.col("source").alias("t_source"), "source_size", "mass", "target")
     ranked = with_rank(join_small(narrow, t, F.col("source").eqNullSafe(F.col("t_source")), "inner", n_sources, 100), max_repeat)
     part = F.floor(F.col("rank") / (F.col("rank") + 1) * PARTS).cast("int")
-    # certain copies count at part -1, so that one sum gives both what they take and the histogram
     hist = ranked.where("size > 0").select(
         "source", "target", F.when(F.col("p") > 0, part).alias("part"), "size", (F.col("certain") * F.col("size")).alias("sure")
     )
     hist = hist.groupBy("source", "part").agg(F.sum("size").alias("words"), F.sum("sure").alias("sure"), F.first("target").alias("target"))
+    hist = scratch.keep(hist, "histogram")
+    # the line is found among parts taken together, then within those: so a source's window has no more than a few hundred rows
     by_source = Window.partitionBy("source")
-    hist = (
-        hist.withColumn("rest", F.col("target") - F.sum("sure").over(by_source))
-        .where("part is not null")
-        .withColumn("upto", F.sum("words").over(by_source.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)))
-    )
+    groups = hist.groupBy("source", F.floor(F.col("part") / TOGETHER).cast("int").alias("group"))
+    groups = groups.agg(F.sum("words").alias("words"), F.sum("sure").alias("sure"), F.first("target").alias("target"))
+    groups = groups.withColumn("rest", F.col("target") - F.sum("sure").over(by_source)).where("group is not null")
+    reached = (
+        reaching(groups, by_source, "group").groupBy("source")
+        .agg(F.min(F.struct("group", (F.col("upto") - F.col("words")).alias("words_before"), "rest")).alias("x"))
+        .select(F.col("source").alias("g_source"), F.col("x.group").alias("g_group"), F.col("x.words_before").alias("g_before"), F.col("x.rest").alias("rest"))
+    )
+    reached = scratch.keep(reached, "groups")
+    fine = hist.where("part is not null").withColumn("group", F.floor(F.col("part") / TOGETHER).cast("int"))
+    fine = join_small(fine, reached, F.col("source").eqNullSafe(F.col("g_source")) & (F.col("group") == F.col("g_group")), "inner", n_sources, 100)
     line = scratch.keep(
-        hist.where("upto >= rest").groupBy("source").agg(F.min(F.struct("part", (F.col("upto") - F.col("words")).alias("words_before"), "rest")).alias("x"))
+        reaching(fine, by_source, "part", F.col("g_before")).groupBy("source")
+        .agg(F.min(F.struct("part", (F.col("upto") - F.col("words")).alias("words_before"), "rest")).alias("x"))
         .select("source", "x.*"), "line"
     )
     near = ranked.where("size > 0 and p > 0").withColumn("part", part)
