@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -28,6 +29,8 @@ TINY = 64
 LOT = 256
 #: Buckets of up to so many sets are compared by a join, larger ones in blocks of so many sets with so many shingles in all.
 SMALL, BLOCK, WEIGHT = 32, 1024, 2 << 20
+#: A set that more than one in so many documents have reaches them by a broadcast; there can't be more such sets than this.
+OFTEN = 4096
 
 
 def _family(samples: int) -> tuple[np.ndarray, np.ndarray]:
@@ -305,8 +308,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     )
     real = features.where("doc_id is not null and n_shingles > 0")
     # equal sets are one node: each task sends on one row of them at most
-    heads = real.groupBy("sig").agg(F.min_by(F.struct(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bands", "sketch"), "doc_id").alias("x"))
-    heads = scratch.keep(heads.select("sig", "x.*"), "heads")
+    heads = real.groupBy("sig").agg(F.min_by(F.struct(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bands", "sketch"), "doc_id").alias("x"), F.count("*").alias("copies"))
+    heads = scratch.keep(heads.select("sig", "x.*", "copies"), "heads")
     members = heads.select("node", "n", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("m")).where("pivot < last")
     shared = scratch.keep(members.join(buckets.select("key", "pivot", "m"), "key"), "buckets")
@@ -339,10 +342,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         if not more.isEmpty():
             found = components(links.unionByName(more), scratch)
 
-    named = heads.select("sig", "node").join(found, "node", "left").select("sig", F.coalesce("component", "node").alias("component"))
-    out = features.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("sig")).alias("sig"))
-    out = out.join(named, "sig", "left")
-    component = F.coalesce("component", "doc_id")
+    named = heads.select("sig", "node", "copies").join(found, "node", "left").select("sig", "copies", F.coalesce("component", "node").alias("component"))
+    named = scratch.keep(named, "named")
+    # a set that many documents share goes to them; there are at most OFTEN such sets, whatever the number of documents
+    often = F.col("copies") > F.lit(math.ceil((heads.agg(F.sum("copies")).first()[0] or 0) / OFTEN))
+    hot = named.where(often).select(F.col("sig").alias("hot_sig"), F.col("component").alias("hot_component"))
+    cold = named.where(~often).select(F.col("sig").alias("key"), "component")
+    sig = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("sig"))
+    out = features.select("doc_id", "n_shingles", sig.alias("sig")).join(F.broadcast(hot), F.col("sig") == F.col("hot_sig"), "left")
+    # rows with nothing to find there are spread by a key of another length
+    alone = F.concat(F.lit("in no other's set "), F.coalesce("doc_id", F.monotonically_increasing_id()).cast("string")).cast("binary")
+    out = out.withColumn("key", F.coalesce(F.when(F.col("hot_sig").isNull(), F.col("sig")), alone)).join(cold, "key", "left")
+    component = F.coalesce("hot_component", "component", "doc_id")
     component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
