@@ -229,15 +229,15 @@ def _within(many: DataFrame, heads: DataFrame, docs: DataFrame, k: int, percent:
     compared with all others: they meet each block of the main component and each other's blocks, while the main
     component's members, of whom most have nothing to be compared with but these, are not compared with each other."""
     ship_package(docs.sparkSession)
-    sizes = many.groupBy("key", "component").agg(F.count("*").alias("own"))
-    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("own", "component")).alias("main"))
-    many = many.join(main, "key").withColumn("out", F.col("component") != F.col("main"))
+    sizes = many.groupBy("key", "component").agg(F.count("*").alias("own"), F.sum("n").alias("weight"))
+    cut = sizes.groupBy("key").agg(F.max(F.struct("own", "component", "weight")).alias("main"), F.sum("own").alias("own"), F.sum("weight").alias("weight"))
 
-    def blocks(of: Column) -> Column:
-        return F.ceil(F.greatest(F.sum(of.cast("long")) / BLOCK, F.sum(F.when(of, F.col("n"))) / WEIGHT)).cast("int")
+    def blocks(members: Column, weight: Column) -> Column:
+        return F.ceil(F.greatest(members / BLOCK, weight / WEIGHT)).cast("int")
 
-    cut = many.groupBy("key").agg(blocks(F.col("out")).alias("n_out"), blocks(~F.col("out")).alias("n_main"))
-    many = many.join(cut, "key")
+    n_out, n_main = blocks(F.col("own") - F.col("main.own"), F.col("weight") - F.col("main.weight")), blocks(F.col("main.own"), F.col("main.weight"))
+    cut = cut.select("key", F.col("main.component").alias("main"), n_out.alias("n_out"), n_main.alias("n_main"))
+    many = scratch.keep(many.join(cut, "key").withColumn("out", F.col("component") != F.col("main")), "cut")
     own = F.pmod(F.xxhash64("node"), F.when(F.col("out"), F.col("n_out")).otherwise(F.col("n_main"))).cast("int")
     # cell (i, j): outside block i with outside block j, or, where j is negative, with block -1 - j of the main component; with -1, also with itself
     others = F.sequence(F.lit(0), F.col("n_out") - 1)
@@ -252,16 +252,17 @@ def _within(many: DataFrame, heads: DataFrame, docs: DataFrame, k: int, percent:
     cells = cells.select("key", "node", "component", "cell.*").join(facts, "node")
     links = cells.groupBy("key", "i", "j").applyInArrow(_cells(most_differing(percent / 100 - SLACK), percent), "a long, b long")
     links = scratch.keep(links.distinct(), "links")
-    scratch.drop(sets, facts)
+    scratch.drop(sets, facts, many)
     return links
 
 
 def _apart_in_buckets(shared: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, node, n, m, component) of the buckets of three or more whose members are in more than one component."""
-    own = shared.where("m > 2").join(found, "node", "left").select("key", "node", "n", "m", F.coalesce("component", "node").alias("component"))
+    """(key, node, n, m, component) of the buckets of three or more whose members are in more than one component. Components only
+    merge, so what an earlier call has returned serves as `shared` of a later one."""
+    own = shared.where("m > 2").select("key", "node", "n", "m").join(found, "node", "left").select("key", "node", "n", "m", F.coalesce("component", "node").alias("component"))
     own = scratch.keep(own, "members")
     open_ = own.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    out = scratch.keep(own.join(open_, "key"), "open")
+    out = scratch.keep(own.join(open_, "key", "left_semi"), "open")
     scratch.drop(own)
     return out
 
@@ -322,7 +323,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         if merged:
             links = links.unionByName(new)
             found = components(links, scratch)
-            own = _apart_in_buckets(shared, found, scratch)
+            own = _apart_in_buckets(own, found, scratch)
         if merged * 20 < outside:
             break
     few = own.where(F.col("m") <= SMALL)
@@ -332,7 +333,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     if not more.isEmpty():
         links = links.unionByName(more)
         found = components(links, scratch)
-        own = _apart_in_buckets(shared, found, scratch)
+        own = _apart_in_buckets(own, found, scratch)
     many = own.where(F.col("m") > SMALL)
     if not many.isEmpty():
         more = _within(many, heads, docs, k, percent, scratch)
