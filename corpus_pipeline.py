@@ -27,8 +27,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages are cut from the texts."""
-    return remove_repeated_spans(docs).select(*docs.columns)
+    """Repeated passages, of whole sentences or of 50 words, are cut from the texts."""
+    return remove_repeated_spans(docs, words=50).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

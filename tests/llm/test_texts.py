@@ -430,3 +430,34 @@ def test_quality_edges(spark):
     assert out.columns == [*docs.columns, "perplexity", "threshold", "kept"] and len(rows) == 35
     assert [r.kept for r in rows] == [r.doc_id is not None for r in rows]
     assert quality.quality(docs, labels.limit(0)).where("not kept").count() == 0 and quality.quality(docs.limit(0), labels).count() == 0
+
+
+def test_repeated_runs_of_words(spark):
+    rnd = random.Random(3)
+
+    def some(n):
+        return [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+
+    rows = [(i, " ".join(some(rnd.randrange(0, 160))), "s") for i in range(40)]
+    passage, short, twin = some(60), some(49), some(55)
+    for i in (50, 51, 52):  # in the midst of sentences
+        rows.append((i, " ".join([*some(9), *passage, *some(9)]) + ". End.", "s"))
+    rows += [(i, " ".join([*some(7), *short, *some(7)]), "s") for i in (60, 61)]
+    rows += [(70, "É " + "\n".join([*twin, *some(3), *twin]), "s"), (71, None, "s"), (72, "", "s"), (None, " ".join([*twin, *twin]), "s"), (None, "", "s"), (80, " ".join(["ha"] * 70), "s")]
+    docs = spark.createDataFrame(rows, DOCS)
+    out = substring_dedup.remove_repeated_spans(docs.repartition(3), words=50).collect()
+    assert sorted(len(r.text) for r in out if r.doc_id is None) == [0, len(" ".join(twin)) + 1]
+    rows = [r for r in rows if r[0] is not None]
+    got = {r.doc_id: r.text for r in out if r.doc_id is not None}
+    seen, want = set(), {}
+    for i, text, _ in rows:  # by brute force: each run of 50 words and its first place
+        w, away, own = words(text), set(), {}
+        for p in range(len(w) - 49):
+            run = tuple(w[p : p + 50])
+            if run in seen or p - own.setdefault(run, p) >= 50:
+                away.update(range(p, p + 50))
+        seen |= own.keys()
+        want[i] = [x for p, x in enumerate(w) if p not in away]
+    assert {i: words(t) for i, t in got.items()} == want
+    assert [len(want[i]) for i in (50, 51, 52, 60, 61, 70, 80)] == [79, 19, 19, 63, 63, 59, 70]
+    assert got[71] is None and got[72] == "" and got[70].startswith("É ")
