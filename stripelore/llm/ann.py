@@ -16,16 +16,17 @@ from .shingles import mix64
 
 #: Neighbours of each node in the graph.
 DEGREE = 32
-#: First graph: so many orders of the vectors by signs of random projections, each cut into leaves of so many.
-TREES, LEAF = 4, 256
+#: First graph: so many orders of the vectors by signs of random projections, each cut into leaves of so many, which are compared in
+#: blocks of so many rows.
+TREES, LEAF, BLOCK = 4, 4096, 512
 #: Members of a local join: the node's nearest, and a sample of those that have it as a neighbour.
 NEAREST, REVERSE = 20, 12
 #: New neighbours that a node can be offered by one local join.
 OFFERS = 8
-#: Rounds of descent at most; they end before if fewer than one edge in a hundred changes.
-ROUNDS = 4
+#: Rounds of descent at most; they end before if fewer than one edge in so many changes.
+ROUNDS, SETTLED = 4, 8
 #: Candidates that a walk keeps: BEAM at least, and GROWTH times the cube root of the number of nodes; how many of them it expands at a time.
-BEAM, GROWTH, WIDTH = 256, 7, 128
+BEAM, GROWTH, WIDTH = 128, 4, 128
 #: Nodes that every walk visits besides its own neighbours at the start.
 ENTRIES = 8
 #: So many queries are also answered exactly; while their walks find a smaller share of the neighbours than this, beams are doubled.
@@ -125,15 +126,16 @@ def _whole(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]
 
 
 def _leaves(top: int):
-    """Rows of (leaf, node, code), those of one leaf together -> the nearest within each leaf."""
+    """Rows of (leaf, node, code), those of one leaf together -> the nearest within each leaf, found in single precision."""
 
-    def one(rows: pa.Table) -> pa.RecordBatch:
-        ids, x = rows.column("node").to_numpy(), _matrix(rows.column("code"))
-        sims = x @ x.T
-        np.fill_diagonal(sims, -2)
+    def one(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, x, y = rows.column("node").to_numpy(), _floats(rows.column("code"), np.float32), _matrix(rows.column("code"))
         k = min(top, len(ids) - 1)
-        best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        return _edges(np.repeat(ids, k), ids[best.ravel()], np.take_along_axis(sims, best, 1).ravel())
+        for a in range(0, len(ids), BLOCK):
+            far = -(x[a : a + BLOCK] @ x.T)
+            far[np.arange(len(far)), np.arange(a, a + len(far))] = 2
+            best = np.argpartition(far, k - 1, axis=1)[:, :k]
+            yield _edges(np.repeat(ids[a : a + BLOCK], k), ids[best.ravel()], np.einsum("id,ijd->ij", y[a : a + BLOCK], y[best]).ravel())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole(batches, "leaf"):
@@ -141,7 +143,7 @@ def _leaves(top: int):
             starts = np.flatnonzero(np.concatenate(([True], leaf[1:] != leaf[:-1])))
             for a, b in zip(starts, np.append(starts[1:], len(leaf)), strict=True):
                 if b - a > 1:
-                    yield one(rows.slice(a, b - a))
+                    yield from one(rows.slice(a, b - a))
 
     return run
 
@@ -291,7 +293,7 @@ def build(vectors: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, seed:
         old, graph = graph, scratch.keep(_nearest(merged, degree), "graph")
         scratch.drop(old)
         total, fresh = graph.agg(F.count("*"), F.coalesce(F.sum(F.col("new").cast("long")), F.lit(0))).first()
-        if fresh * 100 < total:
+        if fresh * SETTLED < total:
             break
     return Index(nodes, members, graph, dim, many, degree, scratch)
 

@@ -91,6 +91,18 @@ def test_beams_widen_until_the_audit_passes(spark, monkeypatch):
     assert {(r.query_id, r.vec_id) for r in ann.exact(index, queries).collect()} == want
 
 
+def test_first_graph_of_few_vectors_is_exact(spark):
+    rnd = np.random.default_rng(10)
+    x = rnd.standard_normal((1200, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r.u, r.v) for r in ann.build(df, rounds=0).graph.where("rank <= 16").collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = unit @ unit.T
+    np.fill_diagonal(sims, -2)
+    want = {(i, int(j)) for i, row in enumerate(np.argsort(-sims, axis=1)[:, :16]) for j in row}
+    assert len(got & want) >= 0.999 * len(want)
+
+
 @pytest.mark.parametrize("partitions", [4, 200])
 def test_one_to_six_vectors(spark, partitions):
     rnd = np.random.default_rng(9)
