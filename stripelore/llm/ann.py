@@ -7,11 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
-from .common import Scratch, map_arrow, table
+from .cells import answers, op5_nearest_neighbours  # noqa: F401
+from .cells import floats as _floats
+from .common import Scratch, map_arrow
 from .shingles import mix64
 
 #: Neighbours of each node in the graph.
@@ -81,16 +83,6 @@ def _prepare(dim: int, seed: int):
     return run
 
 
-def _floats(column: pa.Array | pa.ChunkedArray, kind: type) -> np.ndarray:
-    """A column of binary values of one length as rows of numbers."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    if not len(column):
-        return np.zeros((0, 1), kind)
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(kind).reshape(len(column), -1)
-
-
 def _matrix(codes: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Unit vectors in double precision. Their dot products tell near copies apart as finely as single precision holds the
     components themselves, much finer than dot products of single precision do."""
@@ -545,18 +537,4 @@ def _answers(index: Index, asked: DataFrame, state: DataFrame, k: int) -> DataFr
     scored = map_arrow(pairs, _scores, "query long, node long, score double")
     best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "node"))
     scored = scored.withColumn("nth", best).where(F.col("nth") <= k + 1).drop("nth")
-    # of rows with one vector the k + 1 smallest ids can be wanted: each task sends on no more
-    few = index.members.distinct().withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))).where(F.col("nth") <= k + 1)
-    out = scored.join(few.select("node", "vec_id"), "node")
-    out = asked.select("query_id", F.col("node").alias("query")).join(out, "query").where("vec_id <> query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 5 nearest of every row of embeddings whose id is divisible by 50."""
-    vectors = table(spark, sf_dir, "embeddings")
-    index = build(vectors)
-    if index is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    return nearest(index, vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id")))
+    return answers(index.members, asked, scored, k)
