@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixtures import as_orc
-from ..functions import decode_integers, varint_decode, varint_encode, zigzag_decode, zigzag_encode
-from ..operators.columns import decode_columns, read_streams
+from ..functions import varint_decode, varint_encode, zigzag_decode, zigzag_encode
+from ..operators.columns import decode_columns, read_integers
 from ..operators.reader import OrcReader
 from ..shared import shared_dir
 
@@ -349,11 +349,10 @@ def decode_timestamps(spark, sf):
 
 @query("decode_streams", "SELECT l_linenumber, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL")
 def decode_streams(spark, sf):
-    """The numbers of raw streams, read by their places, by the column function."""
+    """The numbers of raw streams, read by their places."""
     path = as_orc(spark, sf, "lineitem", "uncompressed", compression="none")
-    raw = read_streams(OrcReader(spark, path).streams().where("column = 'l_linenumber' AND stream = 'DATA'")).select("data", "encoding")
-    values = raw.select(F.explode(decode_integers("data", "encoding", F.lit(True))).alias("v"))
-    return values.select(F.col("v").cast("int").alias("l_linenumber")).groupBy("l_linenumber").agg(F.count("*").alias("n"))
+    values = read_integers(OrcReader(spark, path).streams().where("column = 'l_linenumber' AND stream = 'DATA'"), True)
+    return values.select(F.col("value").cast("int").alias("l_linenumber")).groupBy("l_linenumber").agg(F.count("*").alias("n"))
 
 
 # -- what Catalyst does with the files

@@ -57,3 +57,15 @@ def test_a_feed_reads_no_further_than_it_must():
     runs = rle.integers(feed, "DIRECT", True)
     assert runs.take(1500).tolist() == [i * i for i in range(1500)] and len(read) < 8
     assert np.concatenate([runs.take(24_250) for _ in range(2)]).tolist() == [i * i for i in range(1500, 50_000)]
+
+
+def test_numbers_of_streams_come_in_lots(spark, tmp_path):
+    from stripelore.operators.reader import OrcReader
+
+    spark.range(0, 300_000, 1, 2).selectExpr("id * id % 1000003 AS v").write.option("compression", "none").orc(str(tmp_path / "o"))
+    streams = OrcReader(spark, str(tmp_path / "o")).streams().where("column = 'v' AND stream = 'DATA'")
+    values = columns.read_integers(streams, True)
+    assert sorted(r.value for r in values.collect()) == sorted(i * i % 1000003 for i in range(300_000))
+    read, size, _ = open_source(streams.first().file)
+    feed = rle.Feed(FileTail.read(read, size).pieces(0, 1, "DATA"))
+    assert max(map(len, rle.integers(feed, "DIRECT_V2", True).lots(1000))) < 1600
