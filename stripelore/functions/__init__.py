@@ -22,19 +22,33 @@ def zigzag_decode(c: Column) -> Column:
 
 
 def varint_encode(c: Column) -> Column:
-    """Long from 0 on -> its variable-length bytes, in the JVM; a negative one counts as its unsigned 64-bit pattern."""
+    """Long from 0 on -> its variable-length bytes, in the JVM; a negative one counts as its unsigned 64-bit pattern. Arithmetic on one long, no
+    arrays: the first eight groups of seven bits go to the bytes of a long, the highest first."""
     c = c.cast("long")
-    groups = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.call_function("shiftrightunsigned", c, k * 7))
-    last = F.greatest(F.lit(0), F.size(F.filter(groups, lambda g: g != 0)) - 1)
-    octets = F.transform(F.slice(groups, 1, last + 1), lambda g, i: g.bitwiseAND(F.lit(127)).bitwiseOR(F.when(i < last, F.lit(128)).otherwise(F.lit(0))))
-    return F.unhex(F.array_join(F.transform(octets, lambda b: F.lpad(F.hex(b), 2, "0")), ""))
+    long = lambda v: F.lit(v).cast("long")
+    all_marked = sum(128 << 8 * i for i in range(8)) - (1 << 64)
+    size, marks, word = F.when(c < 0, 10), F.when(c < 0, long(all_marked)), long(0)
+    for n in range(1, 9):
+        below = c < 1 << 7 * n
+        mark = sum(128 << 8 * (7 - i) for i in range(n - 1))
+        size, marks = size.when(below, n), marks.when(below, long(mark - (1 << 64) if mark >> 63 else mark))
+        word = word.bitwiseOR(F.shiftleft(F.shiftrightunsigned(c, 7 * (n - 1)).bitwiseAND(long(127)), 8 * (8 - n)))
+    octets = F.lpad(F.hex(word.bitwiseOR(marks.otherwise(long(all_marked)))), 16, "0")
+    last = F.when(c < 0, F.concat(F.hex(F.shiftrightunsigned(c, 56).bitwiseOR(long(128))), F.lit("01"))).when(c >= 1 << 56, F.lpad(F.hex(F.shiftright(c, 56)), 2, "0")).otherwise("")
+    return F.unhex(F.concat(F.substring(octets, F.lit(1), 2 * size.otherwise(9)), last))
 
 
 def varint_decode(c: Column) -> Column:
     """The number that the bytes of one variable-length number stand for, as a long, in the JVM."""
-    n = F.octet_length(c)
-    octets = F.transform(F.sequence(n, F.lit(1), F.lit(-1)), lambda i: F.conv(F.hex(F.substring(c, i, F.lit(1))), 16, 10).cast("long"))
-    return F.aggregate(octets, F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 7).bitwiseOR(b.bitwiseAND(F.lit(127))))
+
+    def number(first: int, length: int) -> Column:
+        return F.conv(F.rpad(F.hex(F.substring(c, first, length)), 2 * length, "0"), 16, -10).cast("long")
+
+    word, value, rest = number(1, 8), F.lit(0).cast("long"), number(9, 2)
+    for i in range(8):
+        value = value.bitwiseOR(F.shiftleft(F.shiftrightunsigned(word, 8 * (7 - i)).bitwiseAND(F.lit(127).cast("long")), 7 * i))
+    high = F.shiftleft(F.shiftrightunsigned(rest, 8).bitwiseAND(F.lit(127).cast("long")), 56).bitwiseOR(F.shiftleft(rest, 63))
+    return value.bitwiseOR(F.when(F.octet_length(c) > 8, high).otherwise(F.lit(0).cast("long")))
 
 
 # types as objects: text would need a session when this module is imported
